@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -53,12 +53,13 @@ def vec_unit(v: Column) -> Column:
     )
 
 
-def vec_sum(v: Column, weight: Column | None = None) -> Column:
-    """Element-wise (weighted) sum over a group, combined map-side."""
+def vec_sum(v: Column, weight: Column | None = None, over: WindowSpec | None = None) -> Column:
+    """Element-wise (weighted) sum over a group, combined map-side, or over a window."""
     vector = array_to_vector(as_doubles(v))
     if weight is not None:
         vector = array_to_vector(vec_scale(v, weight.cast("double")))
-    return vector_to_array(Summarizer.sum(vector))
+    summary = Summarizer.metrics("sum").summary(vector)
+    return vector_to_array((summary if over is None else summary.over(over))["sum"])
 
 
 def sigmoid(x: Column, bound: float = 6.0) -> Column:

@@ -71,3 +71,14 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     adaptive skew handling.
     """
     return F.broadcast(df) if measured_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame, per_split: int = 8) -> DataFrame:
+    """Cut a scan with fewer splits than cores into more tasks.
+
+    Tokenising is bound by CPU, and a small table often is one split. Scans with
+    enough splits are returned as they are, so large inputs are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df if splits >= cores else df.repartition(min(cores, splits * per_split))

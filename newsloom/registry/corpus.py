@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.vectors import as_doubles, vec_unit
 from newsloom.operators.stats import doc_tf, tfidf_stats, top_rows
-from newsloom.plans.staging import stage
+from newsloom.plans.staging import spread, stage
 from newsloom.sources.articles import segment_articles
 
 HEADLINE = 200
@@ -26,7 +26,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     line = F.substring_index("text", "\n", 1)
     headed = F.length(line) <= HEADLINE
-    return table(spark, sf, "documents").select(
+    documents = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return spread(documents).select(
         F.col("doc_id").alias("id"),
         F.when(headed, line).otherwise(F.lit("")).alias("title"),
         F.when(headed, F.substring("text", F.length(line) + 2, F.length("text")))
