@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.vectors import vec_cosine, vec_dot
+from newsloom.functions.vectors import vec_cosine, vec_dot, vec_unit
+from newsloom.operators.blocks import block_count, block_pairs, flagged_partners
+from newsloom.plans.staging import stage
 
 
 def doc_pair_similarity(docvecs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -30,7 +32,12 @@ def similar_documents(
     shuffled; ``limit`` keeps the smallest ids.
     """
     wanted = docvecs.where(F.col("id") == query_id).select("vec").scalar()
-    found = docvecs.withColumn("sim", vec_cosine(F.col("vec"), wanted)).where(F.col("sim") > threshold)
+    found = (
+        docvecs.withColumn("wanted", wanted)
+        .withColumn("sim", vec_cosine(F.col("vec"), F.col("wanted")))
+        .where(F.col("sim") > threshold)
+        .drop("wanted")
+    )
     return found if limit is None else found.orderBy("id").limit(limit)
 
 
@@ -46,3 +53,19 @@ def shared_words_rank(items: DataFrame, words: Sequence[str]) -> DataFrame:
         "shared": F.size(F.array_intersect(own, wanted)),
         "joined": F.size(F.array_union(own, wanted)),
     })
+
+
+def similarity_matrix(docvecs: DataFrame, *, flag_below: float = 0.8, most: int = 2000) -> DataFrame:
+    """(id_a, id_b, sim): ordered pairs of a small set that are at most ``flag_below``.
+
+    The set is the result of a bounded search, such as ``similar_documents`` with a
+    limit. A set larger than ``most`` is refused: ``low_similarity`` digests those.
+    """
+    rows = stage(docvecs.select("id", vec_unit(F.col("vec")).alias("vec")))
+    size = rows.count()
+    if size > most:
+        raise ValueError(f"{size} documents are more than {most}; use low_similarity")
+    kind = rows.schema["id"].dataType.simpleString()
+    return block_pairs(
+        rows, flagged_partners(flag_below), f"id_a {kind}, id_b {kind}, sim double", block_count(size)
+    )
