@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.vectors import as_doubles, vec_unit
+from newsloom.operators.category import doc_keyword_vector
+from newsloom.operators.keywords import vocabulary
 from newsloom.operators.stats import doc_tf, tfidf_stats, top_rows
 from newsloom.plans.staging import spread, stage
 from newsloom.sources.articles import segment_articles
@@ -80,6 +82,24 @@ def docvecs(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.join(words, "id", "left").select("id", F.coalesce("words", none).alias("words"), "vec")
 
 
+def article_items(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, words, vec) of every article: the sum of its known words' vectors, weighted
+    by their counts, and its ten most frequent words. Articles without a known word
+    have no vector and are left out."""
+    word_stats = stats(spark, sf)
+    vocab = stage(vocabulary(word_vectors(spark, sf, word_stats), word_stats))
+    seg = segmented(spark, sf)
+    vectors = doc_keyword_vector(doc_tf(seg).select("id", "word", F.col("tf").alias("weight")), vocab)
+    best = top_rows(doc_tf(seg).where(F.length("word") > 1), ["id"], [F.desc("tf"), F.asc("word")], 10)
+    listed = F.array_sort(F.collect_list(F.struct("rank", "word")))
+    words = best.groupBy("id").agg(
+        F.transform(
+            listed, lambda r: F.struct(r["word"].alias("word"), F.lit(1.0).alias("weight"))
+        ).alias("words")
+    )
+    return vectors.join(words, "id").select("id", "words", "vec")
+
+
 def publisher_keywords(spark: SparkSession, sf: str, word_stats: DataFrame, k: int = 5) -> DataFrame:
     """(id, cate, word): the k words of an article with the highest tf * idf."""
     seg = segmented(spark, sf)
@@ -149,3 +169,17 @@ publisher AS MATERIALIZED (
              PARTITION BY id ORDER BY round(d.tf * s.idf, 6) DESC, word) AS rn
     FROM doc_tf d JOIN stats s USING (word) WHERE length(word) > 1 AND s.df >= 2) r
   JOIN articles a ON a.id = r.id WHERE rn <= 5)"""
+
+ITEMS = DOC_TF + """,
+item_parts AS (
+  SELECT id, generate_subscripts(vec, 1) AS pos, unnest(list_transform(vec, lambda x: x * tf)) AS x
+  FROM doc_tf JOIN wordvecs USING (word)),
+item_sums AS (SELECT id, pos, sum(x) AS x FROM item_parts GROUP BY id, pos),
+item_vecs AS (SELECT id, list(x ORDER BY pos) AS raw FROM item_sums GROUP BY id),
+item_words AS (
+  SELECT id, list(word) AS words FROM (
+    SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY tf DESC, word) AS rn
+    FROM doc_tf WHERE length(word) > 1) WHERE rn <= 10 GROUP BY id),
+items AS MATERIALIZED (
+  SELECT id, words, raw, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS vec
+  FROM item_vecs JOIN item_words USING (id))"""
