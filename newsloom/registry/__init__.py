@@ -7,6 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = (
+    "text", "tables", "stats", "vectors", "keywords", "graph", "expansion", "clusters",
+    "categories", "classifier",
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,10 +27,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    for module in ("text", "tables", "stats", "vectors", "keywords", "graph", "expansion",
-                   "clusters", "categories", "classifier"):
-        try:
-            importlib.import_module(f"newsloom.registry.{module}")
-        except ModuleNotFoundError as e:
-            if not str(e.name).startswith("newsloom.registry"):
-                raise
+    for module in MODULES:
+        importlib.import_module(f"newsloom.registry.{module}")
