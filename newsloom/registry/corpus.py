@@ -21,6 +21,17 @@ from newsloom.sources.articles import segment_articles
 HEADLINE = 200
 
 
+def shown(value, decimals: int):
+    """Decimals of a value that was rounded before, by plain double arithmetic."""
+    scale = 10.0**decimals
+    return F.floor(value * scale + 0.5) / scale
+
+
+def shown_sql(value: str, decimals: int) -> str:
+    scale = f"1{'0' * decimals}::DOUBLE"
+    return f"floor({value} * {scale} + 0.5::DOUBLE) / {scale}"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -97,13 +97,13 @@ def semantic_keywords_legacy(spark, sf):
 
 @query(
     "word_centrality",
-    f"""WITH {NOUNS} SELECT id, word, tf, in_title, round(sim, 5) + 0.0 AS sim FROM central""",
+    f"""WITH {NOUNS} SELECT id, word, tf, in_title, {c.shown_sql('sim', 5)} AS sim FROM central""",
 )
 def word_centrality(spark, sf):
     terms, vecs, stats = inputs(spark, sf)
     vocab = op.vocabulary(vecs, stats)
     central = op.word_centrality(op.article_nouns(terms, vocab.select("word")), vocab)
-    return central.select("id", "word", "tf", "in_title", (F.round("sim", 5) + 0.0).alias("sim"))
+    return central.select("id", "word", "tf", "in_title", c.shown(F.col("sim"), 5).alias("sim"))
 
 
 @query(
