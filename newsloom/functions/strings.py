@@ -88,10 +88,8 @@ def split_scripts(c: Column) -> Column:
 
 def split_scripts_words(c: Column) -> Column:
     """Cut at script changes and around separators; separators go, pieces are trimmed."""
-    sep = char_class(SEPARATORS)
     plain = char_class(SEPARATORS, negate=True)[:-1] + CJK[1:]
-    pieces = F.regexp_extract_all(c, F.lit(f"{sep}|{CJK}+|{plain}+"), F.lit(0))
-    kept = F.filter(pieces, lambda p: ~p.rlike(f"^{sep}\\z"))
-    return F.transform(kept, trim_punct)
-
-
+    pieces = F.regexp_extract_all(c, F.lit(f"{CJK}+|{plain}+"), F.lit(0))
+    # Only pieces with something to trim pay for the trimming expressions.
+    edge = rf"^[\x00-\x20]|^{PUNCT_CLASS}|{PUNCT_CLASS}\z|[\x00-\x20]\z"
+    return F.transform(pieces, lambda p: F.when(p.rlike(edge), trim_punct(p)).otherwise(p))

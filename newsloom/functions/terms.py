@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +55,35 @@ def is_vocabulary_nature(nature: Column) -> Column:
     return noun | nature.startswith("mz") | (nature == "mbk")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once per row."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
+def word_counts(words: Column) -> Column:
+    """(word, n) of an array of words, counted inside the row.
+
+    The sorted array is cut where the word changes, so an article's counts need no
+    shuffle and no time beyond the sort.
+    """
+
+    def cut(s: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1),
+            lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
+        )
+        return bind(starts, lambda at: runs(s, at))
+
+    def runs(s: Column, at: Column) -> Column:
+        ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s)))
+        return F.zip_with(
+            at, ends, lambda a, b: F.struct(F.get(s, a).alias("word"), (b - a).cast("long").alias("n"))
+        )
+
+    none = F.array().cast("array<struct<word:string,n:bigint>>")
+    return F.when(F.size(words) > 0, bind(F.array_sort(words), cut)).otherwise(none)
+
+
 def distinct_terms(title: Column, content: Column) -> Column:
     """Distinct words in order of first occurrence, title first."""
     return F.array_distinct(F.concat(title, content))

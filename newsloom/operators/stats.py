@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.terms import is_vocabulary_nature, word_counts
 from newsloom.sources.articles import article_words
 
 
@@ -17,42 +18,39 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, rank:
 def tfidf_stats(segmented: DataFrame) -> DataFrame:
     """(word, tf, df, idf): occurrences, articles holding the word, ln(N / df).
 
-    Every article adds its token array once as is and once without repeats, so one
-    map-side combined shuffle on the word yields both counts.
+    An article's words are counted inside its row; what is shuffled are map-side
+    combined counts per word.
     """
-    words = article_words(segmented)
-    views = words.select(F.posexplode(F.array("words", F.array_distinct("words"))).alias("view", "words"))
-    counts = views.select("view", F.explode("words").alias("word")).groupBy("word").agg(
-        F.count(F.when(F.col("view") == 0, 1)).alias("tf"),
-        F.count(F.when(F.col("view") == 1, 1)).alias("df"),
+    counts = article_counts(segmented).groupBy("word").agg(
+        F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")
     )
     articles = segmented.agg(F.count(F.lit(1)).cast("double")).scalar()
     return counts.withColumn("idf", F.log(articles / F.col("df")))
 
 
+def article_counts(segmented: DataFrame, *extra: str) -> DataFrame:
+    """(id, total, word, tf): words of each article with their counts, without a shuffle."""
+    words = article_words(segmented, *extra).withColumn("total", F.size("words"))
+    counted = words.select("id", *extra, "total", F.explode(word_counts(F.col("words"))).alias("c"))
+    return counted.select("id", *extra, "total", "c.word", F.col("c.n").alias("tf"))
+
+
 def stop_words(stats: DataFrame, *, idf_max: float = 3.0, tf_min: int = 165943) -> DataFrame:
     return stats.where((F.col("idf") <= idf_max) | (F.col("tf") > tf_min)).select("word")
 
 
-def doc_tf(segmented: DataFrame) -> DataFrame:
+def doc_tf(segmented: DataFrame, *extra: str) -> DataFrame:
     """(id, word, tf, rel_tf): occurrences in the article, and their share of its words."""
-    words = article_words(segmented).withColumn("total", F.size("words"))
-    return (
-        words.select("id", "total", F.explode("words").alias("word"))
-        .groupBy("id", "word", "total")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .select("id", "word", "tf", (F.col("tf") / F.col("total")).alias("rel_tf"))
+    return article_counts(segmented, *extra).select(
+        "id", *extra, "word", "tf", (F.col("tf") / F.col("total")).alias("rel_tf")
     )
 
 
 def corpus_word_count(segmented: DataFrame) -> DataFrame:
-    words = article_words(segmented).select(F.explode("words").alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return article_counts(segmented).groupBy("word").agg(F.sum("tf").alias("n"))
 
 
 def noun_vocabulary(terms: DataFrame) -> DataFrame:
-    from newsloom.functions.terms import is_vocabulary_nature
-
     rows = terms.where(is_vocabulary_nature(F.col("nature")) & ~F.col("word").contains("/"))
     return rows.select("word").distinct()
 

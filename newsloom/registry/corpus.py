@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.terms import word_counts
 from newsloom.functions.vectors import as_doubles, vec_unit
 from newsloom.operators.category import doc_keyword_vector
-from newsloom.operators.keywords import vocabulary
 from newsloom.operators.stats import doc_tf, tfidf_stats, top_rows
-from newsloom.plans.staging import spread, stage
-from newsloom.sources.articles import segment_articles
+from newsloom.plans.staging import broadcast_if_small, spread, stage
+from newsloom.sources.articles import article_words, segment_articles
 
 HEADLINE = 200
 
@@ -36,11 +36,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     line = F.substring_index("text", "\n", 1)
     headed = F.length(line) <= HEADLINE
-    documents = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    return spread(documents).select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("id"),
         F.when(headed, line).otherwise(F.lit("")).alias("title"),
         F.when(headed, F.substring("text", F.length(line) + 2, F.length("text")))
@@ -76,16 +79,22 @@ def word_vectors(spark: SparkSession, sf: str, word_stats: DataFrame) -> DataFra
     )
 
 
-def docvecs(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, words, vec): words are (word, weight 1.0), at most ten per document."""
-    long = doc_tf(segmented(spark, sf)).where(F.length("word") > 1)
-    best = top_rows(long, ["id"], [F.desc("tf"), F.asc("word")], 10)
-    words = best.groupBy("id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "word"))),
-            lambda r: F.struct(r["word"].alias("word"), F.lit(1.0).alias("weight")),
-        ).alias("words")
+def counted_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, counts, words): word counts of each article, and its ten most frequent
+    words of more than one character as (word, weight 1.0)."""
+    seg = article_words(segmented(spark, sf))
+    counted = seg.select("id", word_counts(F.col("words")).alias("counts"))
+    long = F.filter("counts", lambda c: F.length(c["word"]) > 1)
+    ranked = F.array_sort(F.transform(long, lambda c: F.struct((-c["n"]).alias("n"), c["word"].alias("word"))))
+    words = F.transform(
+        F.slice(ranked, 1, 10), lambda r: F.struct(r["word"].alias("word"), F.lit(1.0).alias("weight"))
     )
+    return counted.withColumn("words", words)
+
+
+def docvecs(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, words, vec): embeddings with the words of the article of the same id."""
+    words = counted_articles(spark, sf).select("id", "words")
     vectors = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), as_doubles(F.col("embedding")).alias("vec")
     )
@@ -97,30 +106,19 @@ def article_items(spark: SparkSession, sf: str) -> DataFrame:
     """(id, words, vec) of every article: the sum of its known words' vectors, weighted
     by their counts, and its ten most frequent words. Articles without a known word
     have no vector and are left out."""
-    word_stats = stats(spark, sf)
-    vocab = stage(vocabulary(word_vectors(spark, sf, word_stats), word_stats))
-    seg = segmented(spark, sf)
-    vectors = doc_keyword_vector(doc_tf(seg).select("id", "word", F.col("tf").alias("weight")), vocab)
-    best = top_rows(doc_tf(seg).where(F.length("word") > 1), ["id"], [F.desc("tf"), F.asc("word")], 10)
-    listed = F.array_sort(F.collect_list(F.struct("rank", "word")))
-    words = best.groupBy("id").agg(
-        F.transform(
-            listed, lambda r: F.struct(r["word"].alias("word"), F.lit(1.0).alias("weight"))
-        ).alias("words")
-    )
-    return vectors.join(words, "id").select("id", "words", "vec")
+    vecs = word_vectors(spark, sf, stats(spark, sf))
+    weighted = doc_tf(segmented(spark, sf)).select("id", "word", F.col("tf").alias("weight"))
+    words = counted_articles(spark, sf).select("id", "words")
+    return doc_keyword_vector(weighted, vecs).join(words, "id").select("id", "words", "vec")
 
 
 def publisher_keywords(spark: SparkSession, sf: str, word_stats: DataFrame, k: int = 5) -> DataFrame:
     """(id, cate, word): the k words of an article with the highest tf * idf."""
-    seg = segmented(spark, sf)
     known = word_stats.where((F.length("word") > 1) & (F.col("df") >= 2)).select("word", "idf")
-    scored = doc_tf(seg).join(known, "word").withColumn(
-        "score", F.round(F.col("tf") * F.col("idf"), 6)
-    )
+    counted = doc_tf(segmented(spark, sf), "category").join(broadcast_if_small(known), "word")
+    scored = counted.withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
     best = top_rows(scored, ["id"], [F.desc("score"), F.asc("word")], k)
-    cates = articles(spark, sf).select("id", F.col("category").alias("cate"))
-    return best.select("id", "word").join(cates, "id").select("id", "cate", "word")
+    return best.select("id", F.col("category").alias("cate"), "word")
 
 
 ARTICLES = f"""

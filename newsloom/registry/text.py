@@ -54,7 +54,7 @@ def _tail_sql(x):
         FROM m GROUP BY lang""",
 )
 def profile_text_by_lang(spark, sf):
-    texts = c.table(spark, sf, "documents").select("lang", mixed().alias("t"))
+    texts = c.documents(spark, sf).select("lang", mixed().alias("t"))
     return profile_text(texts, "t", "lang")
 
 
@@ -68,7 +68,7 @@ def profile_text_by_lang(spark, sf):
                length(t) AS n FROM d""",
 )
 def clean_text_columns(spark, sf):
-    texts = c.table(spark, sf, "documents").select("doc_id", mixed().alias("t"))
+    texts = c.documents(spark, sf).select("doc_id", mixed().alias("t"))
     cleaned = clean_text(texts, ["t"], tail_digits=2)
     # The length before the digit rule is kept next to the result as a second check.
     before = clean_text(texts, ["t"], tail_digits=None)
@@ -87,7 +87,7 @@ def clean_text_columns(spark, sf):
                count(*) AS n FROM h GROUP BY 1, 2""",
 )
 def trim_tail_digits_after_cjk(spark, sf):
-    words = c.table(spark, sf, "documents").select(F.explode(F.split(mixed(), " ")).alias("w"))
+    words = c.documents(spark, sf).select(F.explode(F.split(mixed(), " ")).alias("w"))
     trimmed = strings.trim_tail_digits(F.col("w"), 1, head_cjk_min=2)
     return (
         words.select(strings.trim_blanks(F.col("w")).alias("word"), trimmed.alias("trimmed"))
@@ -109,7 +109,7 @@ _SPLIT_WORDS_SQL = rf"""
         SELECT word, count(*) AS n FROM e JOIN l USING (doc_id) WHERE i <= last GROUP BY word""",
 )
 def split_words(spark, sf):
-    found = c.table(spark, sf, "documents").select(F.explode(strings.split_words(mixed())).alias("word"))
+    found = c.documents(spark, sf).select(F.explode(strings.split_words(mixed())).alias("word"))
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -119,7 +119,7 @@ def split_words(spark, sf):
                    FROM documents) SELECT piece, count(*) AS n FROM p GROUP BY piece""",
 )
 def split_scripts(spark, sf):
-    found = c.table(spark, sf, "documents").select(F.explode(strings.split_scripts(mixed())).alias("piece"))
+    found = c.documents(spark, sf).select(F.explode(strings.split_scripts(mixed())).alias("piece"))
     return found.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -135,7 +135,7 @@ _PLAIN = (strings.char_class(strings.SEPARATORS, negate=True)[:-1] + _CJK[1:]).r
         WHERE NOT regexp_full_match(x, '{_SEP}') GROUP BY 1""",
 )
 def split_scripts_words(spark, sf):
-    found = c.table(spark, sf, "documents").select(
+    found = c.documents(spark, sf).select(
         F.explode(strings.split_scripts_words(mixed())).alias("piece")
     )
     return found.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
@@ -178,7 +178,7 @@ def page_single_line(spark, sf):
 )
 def body_text_json_or_markup(spark, sf):
     lines = F.transform(F.split("text", "\n"), lambda s: F.struct(s.alias("description")))
-    wrapped = c.table(spark, sf, "documents").select(
+    wrapped = c.documents(spark, sf).select(
         F.col("doc_id").alias("id"), F.to_json(F.struct(lines.alias("content"))).alias("raw")
     )
     markup = c.table(spark, sf, "pages").select((-1 - F.col("page_id")).alias("id"), F.col("html").alias("raw"))
@@ -191,7 +191,7 @@ def body_text_json_or_markup(spark, sf):
 )
 def normalise_chars(spark, sf):
     text = clean.normalise_chars(F.col("text"), source="éèêçüñóí", target="eeecunoi")
-    return c.table(spark, sf, "documents").select("doc_id", text.alias("t"))
+    return c.documents(spark, sf).select("doc_id", text.alias("t"))
 
 
 @query(
