@@ -1,0 +1,128 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom.functions import clean, codecs, strings, terms, vectors
+
+
+def one(spark, value, expression, kind="string"):
+    df = spark.createDataFrame([(value,)], f"x {kind}")
+    return df.select(expression(F.col("x")).alias("y")).first()["y"]
+
+
+@pytest.mark.parametrize(
+    ("function", "text", "expected"),
+    [
+        (strings.to_halfwidth, "：１２　ａ", ":12 a"),
+        (strings.cjk_count, "ab我3们", 2),
+        (strings.contains_cjk, "《。", False),
+        (strings.latin_count, "aZ9我", 2),
+        (strings.trim_punct, "!@lajdfl@@@@slfj''lk;'", "lajdfl@@@@slfj''lk"),
+        (strings.trim_punct, " 《我们》 ", "我们"),
+        (strings.tail_digit_count, "ab120", 3),
+        (strings.tail_digit_count, None, 0),
+        (strings.tail_digit_count, "12\n", 0),
+        (strings.trim_tail_digits, " abc1 ", "abc"),
+        (strings.trim_tail_digits, "abc12", "abc12"),
+        (strings.split_words, "ni2思维1.2%3-2.1-a", ["ni2", "思", "维", "1.2%", "3-2", "1-a"]),
+        (strings.split_words, "我ab们", ["我", "ab"]),
+        (strings.split_scripts, "ab我3s-af我们dr.a我", ["ab", "我", "3s-af", "我们", "dr.a", "我"]),
+        (strings.split_scripts, "", []),
+        (strings.split_scripts_words, "#Memory i'm (ni-_)如何\n\n好", ["Memory", "i'm", "ni", "如何", "好"]),
+        (strings.is_blank, "", True),
+        (terms.tokens, "Été a-b 12", ["été", "a", "b", "12"]),
+        (terms.text_lines, "a\n  \nb", ["a", "b"]),
+    ],
+)
+def test_string_rules(spark, function, text, expected):
+    assert one(spark, text, function) == expected
+
+
+def test_tail_digits_need_a_cjk_head(spark):
+    rule = lambda c: strings.trim_tail_digits(c, 1, head_cjk_min=2)
+    assert one(spark, "我们1", rule) == "我们"
+    assert one(spark, "我a1", rule) == "我a1"
+    assert one(spark, "我们a1", rule) == "我们a1"
+
+
+def test_strip_html_keeps_paragraph_lines(spark):
+    html = "<p>a\nb</p>\n\n<script>x<y</script><b>c</b>查看原文  d</br>e"
+    assert one(spark, html, clean.strip_html) == " a b\nc d\ne"
+    assert one(spark, html, lambda c: clean.strip_html(c, single_line=True)) == " a b c d e"
+    assert one(spark, None, clean.strip_html) == ""
+
+
+def test_body_text_chooses_json_or_markup(spark):
+    assert one(spark, '{"content":[{"description":"a<b>"},{"image":"x"}]}', clean.body_text) == "a<b>\n\n"
+    assert one(spark, '{"title":"t"}', clean.body_text) == ""
+    assert one(spark, "<i>{not json</i>", clean.body_text) == " {not json "
+    assert one(spark, "[1]", clean.body_text) == "[1]"
+
+
+def test_normalise_chars(spark):
+    assert one(spark, "ABÉ", lambda c: clean.normalise_chars(c, source="É", target="E")) == "abe"
+
+
+def test_parse_terms_cuts_at_the_last_slash(spark):
+    parsed = one(spark, "a/b/n,12.5/m,/n,x,词/nz", terms.parse_terms)
+    assert [(t["word"], t["nature"]) for t in parsed] == [("a/b", "n"), ("<num>", "m"), ("词", "nz")]
+    nouns = one(spark, "a/n,bc/nz,d/v", lambda c: terms.noun_words(terms.parse_terms(c), min_len=2))
+    assert nouns == ["bc"]
+
+
+@pytest.mark.parametrize(("nature", "kept"), [("n", True), ("nx", False), ("mz", True), ("mbk", True), ("m", False)])
+def test_vocabulary_natures(spark, nature, kept):
+    assert one(spark, nature, terms.is_vocabulary_nature) is kept
+
+
+def test_word_counts(spark):
+    counted = one(spark, ["b", "a", "b", "c", "b"], terms.word_counts, "array<string>")
+    assert [(c["word"], c["n"]) for c in counted] == [("a", 1), ("b", 3), ("c", 1)]
+    assert one(spark, [], terms.word_counts, "array<string>") == []
+
+
+def test_vector_arithmetic(spark):
+    df = spark.createDataFrame([([1.0, 1.0], [0.0, 2.0], [0.0, 0.0])], "a array<float>, b array<double>, z array<double>")
+    row = df.select(
+        vectors.vec_dot(F.col("a"), F.col("b")).alias("dot"),
+        vectors.vec_cosine(F.col("a"), F.col("b")).alias("cos"),
+        vectors.vec_cosine(F.col("a"), F.col("z")).alias("none"),
+        vectors.vec_unit(F.col("a")).alias("unit"),
+        vectors.vec_unit(F.col("z")).alias("zero"),
+    ).first()
+    assert row["dot"] == 2.0
+    assert row["cos"] == pytest.approx(math.sqrt(0.5))
+    assert row["none"] is None
+    assert row["unit"] == pytest.approx([math.sqrt(0.5)] * 2)
+    assert row["zero"] == [0.0, 0.0]
+
+
+def test_vectors_of_different_length_are_an_error(spark):
+    df = spark.createDataFrame([([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
+    with pytest.raises(Exception, match="differ in length"):
+        df.select(vectors.vec_dot(F.col("a"), F.col("b"))).collect()
+
+
+def test_vec_sum_weighted(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], 2), (1, [3.0, 0.0], 1)], "k int, v array<double>, w int")
+    row = df.groupBy("k").agg(
+        vectors.vec_sum(F.col("v")).alias("s"), vectors.vec_sum(F.col("v"), F.col("w")).alias("w")
+    ).first()
+    assert row["s"] == pytest.approx([4.0, 2.0])
+    assert row["w"] == pytest.approx([5.0, 4.0])
+
+
+def test_sigmoid_is_clamped(spark):
+    assert one(spark, 0.0, vectors.sigmoid, "double") == 0.5
+    assert one(spark, 100.0, vectors.sigmoid, "double") == pytest.approx(1 / (1 + math.exp(-6)))
+
+
+def test_codecs(spark):
+    pairs = one(spark, "a:1.5,b:2,", codecs.decode_pairs)
+    assert [(p["word"], p["weight"]) for p in pairs] == [("a", 1.5), ("b", 2.0)]
+    reset = one(spark, "a:1.5", lambda c: codecs.decode_pairs(c, reset_weights=True))
+    assert reset[0]["weight"] == 1.0
+    assert one(spark, " a b:1,c:2,d:3", lambda c: codecs.keyword_list(c, 2)) == ["a_b", "c"]
+    assert one(spark, "a:1.25,b:2", lambda c: codecs.encode_pairs(codecs.decode_pairs(c), 4)) == "a:1.2500,b:2.0000"
+    assert one(spark, "1.5,-2.0,", lambda c: codecs.encode_vec(codecs.decode_vec(c))) == "1.5,-2.0"
