@@ -34,7 +34,12 @@ def block_pairs(vecs: DataFrame, digest: Digest, schema: str, blocks: int) -> Da
     """
     tagged = vecs.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
     left = tagged.select("id", "vec", F.col("own").alias("i"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("j"))
-    right = tagged.select("id", "vec", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
+    # Own names on the right side: with shared ones the column pruning of a cogroup
+    # of a table with itself can lose the right-hand columns.
+    right = tagged.select(
+        F.col("id").alias("right_id"), F.col("vec").alias("right_vec"),
+        F.explode(F.sequence(F.lit(0), "own")).alias("right_i"), F.col("own").alias("right_j"),
+    )
 
     def tiles(ids, a, partner_ids, b, same):
         for start in range(0, len(ids), TILE_ROWS):
@@ -46,15 +51,15 @@ def block_pairs(vecs: DataFrame, digest: Digest, schema: str, blocks: int) -> Da
         same = key[0] == key[1]
         out = []
         if len(x) and len(y):
-            x, y = x.sort_values("id"), y.sort_values("id")
-            a, b = np.stack(x["vec"].to_numpy()), np.stack(y["vec"].to_numpy())
-            ia, ib = x["id"].to_numpy(), y["id"].to_numpy()
+            x, y = x.sort_values("id"), y.sort_values("right_id")
+            a, b = np.stack(x["vec"].to_numpy()), np.stack(y["right_vec"].to_numpy())
+            ia, ib = x["id"].to_numpy(), y["right_id"].to_numpy()
             out.extend(tiles(ia, a, ib, b, same))
             if not same:
                 out.extend(tiles(ib, b, ia, a, False))
         return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in schema.split(",")])
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, schema)
+    return left.groupBy("i", "j").cogroup(right.groupBy("right_i", "right_j")).applyInPandas(run, schema)
 
 
 def best_partners(k: int, threshold: float | None, inclusive: bool) -> Digest:
