@@ -69,9 +69,9 @@ def paragraphs(spark, sf):
     return lines.select("id", kept.alias("words"))
 
 
-@query("cooccurrence_pairs", f"WITH {cooccur_sql()} SELECT a, b, n FROM pairs WHERE n > 1")
+@query("cooccurrence_pairs", f"WITH {cooccur_sql()} SELECT a, b, n FROM pairs")
 def cooccurrence_pairs(spark, sf):
-    return co.cooccurrence_pairs(paragraphs(spark, sf)).where("n > 1")
+    return co.cooccurrence_pairs(paragraphs(spark, sf))
 
 
 @query(
