@@ -41,6 +41,12 @@ def strip_html(
     return text
 
 
+def html_paragraphs(c: Column) -> Column:
+    """Plain single-line texts of the parts between adjoining ``</p><p>`` tags."""
+    parts = F.split(F.coalesce(c, F.lit("")), "</p><p>")
+    return F.transform(parts, lambda s: strip_html(s, single_line=True, phrase_fill=""))
+
+
 def is_json_object(c: Column) -> Column:
     return F.ltrim(c).startswith("{") & F.try_parse_json(c).isNotNull()
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import clean, strings, terms
+from newsloom.operators.cooccurrence import cooccurrence_pairs
 from newsloom.operators.profile import clean_text, profile_text
+from newsloom.plans.staging import spread
 from newsloom.registry import corpus as c
 from newsloom.registry import query
 from newsloom.registry.stats import nature_rule
-from newsloom.sources.articles import encode_segmented, segment_articles, to_terms
+from newsloom.sources.articles import encode_segmented, segment_articles, segment_paragraphs, to_terms
 
 # The corpus is in Latin script. Swapping some letters for CJK characters, full-width
 # digits and punctuation over the whole texts gives the mixed-script rules work to do.
@@ -141,12 +143,12 @@ def split_scripts_words(spark, sf):
     return found.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _strip_sql(x, single_line=False):
+def _strip_sql(x, single_line=False, fill=None):
     out = rf"regexp_replace({x}, '\n', ' ', 'g')"
     phrases = "|".join(f"({p})" for p in clean.BOILERPLATE)
     steps = [
         (r"<script>.*?</script>", "''"), (r"(</p>|</br>)\n*", "chr(10)"), (r"<[^>]+>", "' '"),
-        (phrases, "' '" if single_line else "''"), (r"[ \t\n\r\f\v]*\n[ \t\n\r\f\v]*", "chr(10)"),
+        (phrases, fill or ("' '" if single_line else "''")), (r"[ \t\n\r\f\v]*\n[ \t\n\r\f\v]*", "chr(10)"),
         (r"[ \t]+", "' '"),
     ]
     if single_line:
@@ -168,6 +170,23 @@ def page_single_line(spark, sf):
     )
 
 
+@query(
+    "page_paragraph_pairs",
+    rf"""WITH p AS (SELECT page_id, unnest(string_split(html, '</p><p>')) AS part,
+                       generate_subscripts(string_split(html, '</p><p>'), 1) AS paragraph FROM pages),
+        w AS (SELECT page_id, paragraph,
+                     regexp_extract_all(lower({_strip_sql('part', True, "''")}), '[\p{{L}}\p{{N}}]+') AS ws FROM p),
+        t AS (SELECT page_id, paragraph, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w)
+        SELECT least(x.word, y.word) AS a, greatest(x.word, y.word) AS b, count(*) AS n
+        FROM t x JOIN (SELECT unnest([1, 2, 3, 4]) AS d) ON true
+        JOIN t y ON y.page_id = x.page_id AND y.paragraph = x.paragraph AND y.pos = x.pos + d
+        WHERE x.word <> y.word GROUP BY 1, 2""",
+)
+def page_paragraph_pairs(spark, sf):
+    pages = c.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
+    return cooccurrence_pairs(segment_paragraphs(spread(pages)))
+
+
 @query(
     "body_text_json_or_markup",
     f"""SELECT doc_id AS id, string_agg(line || chr(10), '' ORDER BY i) AS body

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.clean import strip_html
+from newsloom.functions.clean import html_paragraphs, strip_html
 from newsloom.functions.terms import text_lines, tokens
 
 
@@ -86,6 +86,14 @@ def segment_articles(
     )
 
 
+def segment_paragraphs(
+    articles: DataFrame, *, tokenizer: Callable[[Column], Column] = tokens
+) -> DataFrame:
+    """(id, paragraph, words): tokens of each markup paragraph of a body."""
+    parts = articles.select("id", F.posexplode(html_paragraphs(F.col("content"))).alias("paragraph", "text"))
+    return parts.select("id", "paragraph", tokenizer(F.col("text")).alias("words"))
+
+
 def article_words(segmented: DataFrame, *extra: str) -> DataFrame:
     """(id, words): all tokens of an article in reading order."""
     words = F.flatten(F.concat(F.array("title_words"), F.col("sentences")))

@@ -53,6 +53,10 @@ def test_strip_html_keeps_paragraph_lines(spark):
     assert one(spark, None, clean.strip_html) == ""
 
 
+def test_html_paragraphs(spark):
+    assert one(spark, "<p>a</p><p>b <b>c</b></p>", clean.html_paragraphs) == [" a", "b c "]
+
+
 def test_body_text_chooses_json_or_markup(spark):
     assert one(spark, '{"content":[{"description":"a<b>"},{"image":"x"}]}', clean.body_text) == "a<b>\n\n"
     assert one(spark, '{"title":"t"}', clean.body_text) == ""
@@ -125,4 +129,6 @@ def test_codecs(spark):
     assert reset[0]["weight"] == 1.0
     assert one(spark, " a b:1,c:2,d:3", lambda c: codecs.keyword_list(c, 2)) == ["a_b", "c"]
     assert one(spark, "a:1.25,b:2", lambda c: codecs.encode_pairs(codecs.decode_pairs(c), 4)) == "a:1.2500,b:2.0000"
+    display = one(spark, "a:1,b:2", lambda c: codecs.encode_pairs(codecs.decode_pairs(c), link="->", sep="; "))
+    assert display == "a->1.0; b->2.0"
     assert one(spark, "1.5,-2.0,", lambda c: codecs.encode_vec(codecs.decode_vec(c))) == "1.5,-2.0"
