@@ -43,6 +43,17 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a staged table that no later plan reads."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/newsloom/"
+    for file in df.inputFiles()[:1]:
+        folder = file.rsplit("/", 1)[0]
+        if f"/newsloom/{folder.rsplit('/', 1)[1]}" in folder and root.split(":", 1)[-1].lstrip("/") in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Size of a staged table in memory: row count and summed variable widths."""
     fixed, variable = 32, []
