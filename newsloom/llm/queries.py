@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontaminate, licenses, packing, simhash
+from newsloom.llm import decontaminate, langid, licenses, packing, simhash, toxicity
 from newsloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,13 @@ from documents left join held using (doc_id)
 @query("op8_benchmark_decontamination", OP8_SQL)
 def op8(spark, sf_dir):
     return decontaminate.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    return langid.language(read_table(spark, sf_dir, "documents"))
