@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql.types import StructType
 from newsloom.plans.staging import shared_dir, stage, unstage
 
 __all__ = [
-    "SPACE_LOWER", "WORD_LOWER", "components", "crc_mod", "map_texts", "read_table", "shared_dir", "space_words",
+    "SPACE_LOWER", "WORD_LOWER", "components", "crc_mod", "map_texts", "per_worker", "read_table", "shared_dir", "space_words",
     "stage", "unstage", "word_runs",
 ]
 
@@ -78,6 +80,14 @@ def map_texts(
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def per_worker(key: str, make: Callable):
+    """A value that a Python worker keeps from task to task, such as a loaded tokenizer."""
+    store = sys.modules.setdefault("newsloom_worker_state", types.ModuleType("newsloom_worker_state")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def _fold(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     return tuple(row)

@@ -1,9 +1,8 @@
 """Best-fit packing of tokenised documents into sequences.
 
-Tokens are looked up per pre-token: the normaliser and the pattern of the tokenizer are
-applied here, and only pre-tokens not seen by the worker go to the tokenizer's model. Texts
-with characters outside Latin, general punctuation or with the tokenizer's special strings
-are encoded whole by the tokenizer, so that ids are its own in every case.
+Tokens are looked up per blank-separated part of a text; only parts that the worker hasn't
+seen go to the tokenizer. Texts in which Python and the tokenizer disagree about blanks are
+encoded whole, so that ids are the tokenizer's own in every case.
 
 Pieces are dealt into groups of about ``GROUP`` by a hash, and each group is packed by
 itself: pieces go longest first, and among the open sequences that have room under every
@@ -20,6 +19,7 @@ a constraint by itself gets a sequence of its own.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -27,16 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import map_texts, stage
+from newsloom.llm.common import map_texts, per_worker, stage
 
 CAPACITY = 4096
 END_ID = 1
 GROUP = 8192
-#: Entries of a worker's pre-token cache; beyond it the cache starts anew.
-CACHE = 400_000
+#: Entries of a worker's memory of encoded parts; beyond it the memory starts anew.
+CACHE = 300_000
 TOKENIZER = "word_bpe_49k.json"
-#: The tokenizer's own pre-token pattern (fixed value).
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Blanks to Python that are none to the tokenizer.
+ODD_BLANKS = re.compile("[\x1c-\x1f]").search
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -46,52 +46,49 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordIds:
-    """Token ids of texts as little-endian unsigned 32-bit bytes."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes.
+
+    No pre-token crosses white space, so the ids of a text are those of its blank-separated
+    parts in turn, and each distinct part is encoded once.
+    """
 
     def __init__(self, path: str):
-        import regex
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker per core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.words = regex.compile(PRE_TOKEN).findall
-        # Beyond these, lower-casing or white space may differ between the libraries.
-        self.other = regex.compile("[^\\x09-\\x0d\\x20-\\x7e\\xa0-įı-ɏ‐-‧‰-⁞]|<\\|").search
         self.cache: dict[str, bytes] = {}
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        import unicodedata
-
-        split = [
-            None if self.other(t) else self.words((t if t.isascii() else unicodedata.normalize("NFC", t)).lower())
-            for t in texts
-        ]
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        cache = self.cache
-        new = list({w for words in split if words for w in words if w not in cache})
-        for at in range(0, len(new), 4096):
-            part = new[at: at + 4096]
-            for word, made in zip(part, self.model.encode_batch(part, add_special_tokens=False)):
-                cache[word] = self._bytes(made.ids)
-        return [
-            self._bytes(self.model.encode(t, add_special_tokens=False).ids) if words is None
-            else b"".join([cache[w] for w in words])
-            for t, words in zip(texts, split)
-        ]
+        out = []
+        for text in texts:
+            if ODD_BLANKS(text):
+                out.append(self._encode([text])[0])
+                continue
+            # The tokenizer lower-cases anyway, but finds its special strings before it does.
+            parts = (text.lower() if text.isascii() and "<|" not in text else text).split()
+            cache = self.cache
+            new = [w for w in dict.fromkeys(parts) if w not in cache]
+            if new:
+                if len(cache) + len(new) > CACHE:
+                    cache.clear()
+                    new = list(dict.fromkeys(parts))
+                cache.update(zip(new, self._encode(new)))
+            out.append(b"".join([cache[w] for w in parts]))
+        return out
 
 
 def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32)."""
     path = path or tokenizer_path()
-    ids_of = None
 
     def rows(ids, texts):
-        nonlocal ids_of
-        if ids_of is None:
-            ids_of = WordIds(path)
+        ids_of = per_worker(f"word ids {path}", lambda: WordIds(path))
         end = np.array([end_id], "<u4").tobytes()
         for i, data in zip(ids, ids_of(texts)):
             data += end

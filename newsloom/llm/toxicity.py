@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import crc_mod, map_texts
 
-FIT_ROWS = 12_000
+FIT_ROWS = 20_000
 MOST_TERMS = 1_000
+#: Least log-likelihood ratio and log odds of a term.
+LEAST_RATIO, LEAST_ODDS = 45.0, 2.5
 CUT = 0.7
 WINDOW = 12
 QUOTES = "\"“”„«»‘’'"
@@ -48,73 +50,92 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-class LevenshteinAutomaton:
-    """States are rows of edit distances, cut off above the budget."""
-
-    def __init__(self, word: str, budget: int):
-        self.word, self.budget = word, budget
+def error_budget(word: str) -> int:
+    """Edits allowed in a word of this length, of a token as of a term."""
+    return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
 
-    def start(self) -> tuple[int, ...]:
-        return tuple(range(len(self.word) + 1))
 
-    def step(self, state: tuple[int, ...], char: str) -> tuple[int, ...]:
-        row = [state[0] + 1]
-        for i, c in enumerate(self.word):
-            row.append(min(row[i] + 1, state[i + 1] + 1, state[i] + (c != char)))
-        return tuple(row)
+class LevenshteinAutomaton:
+    """Nondeterministic automaton of all strings within ``budget`` edits of a word.
 
-    def lives(self, state: tuple[int, ...]) -> bool:
-        return min(state) <= self.budget
+    A state holds, for each number of edits, the places in the word reached so far as bits.
+    """
 
-    def distance(self, state: tuple[int, ...]) -> int:
-        return state[-1]
+    def __init__(self, word: str, budget: int):
+        self.budget, self.end = budget, 1 << len(word)
+        self.full = (self.end << 1) - 1
+        self.places: dict[str, int] = {}
+        for i, char in enumerate(word):
+            self.places[char] = self.places.get(char, 0) | 1 << i
+
+    def start(self) -> list[int]:
+        return [(2 << e) - 1 for e in range(self.budget + 1)]
+
+    def step(self, state: list[int], char: str) -> list[int] | None:
+        """The next state; None once no place is left."""
+        here, full = self.places.get(char, 0), self.full
+        before = state[0]
+        now = (before & here) << 1
+        after = [now]
+        for reached in state[1:]:
+            # A match, a character too many, a wrong one, a missing one.
+            now = ((reached & here) << 1 | before | before << 1 | now << 1) & full
+            before = reached
+            after.append(now)
+        return after if now else None
+
+    def distance(self, state: list[int]) -> int | None:
+        return next((e for e, reached in enumerate(state) if reached & self.end), None)
 
 
 class LexiconTrie:
-    """Terms as nested dicts; the empty key holds a term's own spelling."""
+    """Terms as nested dicts; the empty key holds a term's own spelling.
+
+    ``heads``, ``tails`` and ``inner`` are the parts of terms of which one more stands than
+    edits are allowed, so a token with none of them is far from every term.
+    """
 
     def __init__(self, terms):
         self.root: dict = {}
-        self.heads, self.tails, self.inner = set(), set(), set()
+        self.heads, self.tails, inner = set(), set(), set()
         for term in terms:
             node = self.root
             for char in term:
                 node = node.setdefault(char, {})
             node[""] = term
-            self.heads.add(term[:2])
-            self.tails.add(term[-2:])
-            third = len(term) // 3
-            self.inner.add(term[third: third + 2])
-            self.heads.add(term[:third] if third > 2 else term[:2])
+            parts = error_budget(term) + 1
+            if parts > 1:
+                self.heads.add(term[: len(term) // parts])
+                self.tails.add(term[len(term) * (parts - 1) // parts:])
+                inner.update(term[len(term) * i // parts: len(term) * (i + 1) // parts] for i in range(1, parts - 1))
+        self.head_sizes, self.tail_sizes = sorted({*map(len, self.heads)}), sorted({*map(len, self.tails)})
+        self.inner = re.compile("|".join(map(re.escape, sorted(inner)))).search if inner else None
 
     def worth(self, word: str, budget: int) -> bool:
-        """Whether a term can be near: edits can't touch every part of it (pigeonhole)."""
-        if word[:2] in self.heads or word[-2:] in self.tails:
-            return True
-        return budget > 1 and any(word[i: i + 2] in self.inner for i in range(1, len(word) - 2))
+        """Whether some term may be within ``budget`` edits."""
+        return (
+            any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)
+            or (budget > 1 and self.inner is not None and self.inner(word) is not None)
+        )
 
     def nearest(self, word: str, budget: int) -> tuple[str, int] | None:
-        """Nearest term within ``budget`` edits, the smaller spelling on ties."""
+        """Nearest term within its and the word's budget, the smaller spelling on ties."""
         machine, best = LevenshteinAutomaton(word, budget), None
         todo = [(self.root, machine.start())]
         while todo:
             node, state = todo.pop()
             for char, child in node.items():
-                if char == "":
-                    d = machine.distance(state)
-                    if d <= budget and (best is None or (d, child) < best):
-                        best = (d, child)
+                if char:
+                    after = machine.step(state, char)
+                    if after is not None:
+                        todo.append((child, after))
                     continue
-                after = machine.step(state, char)
-                if machine.lives(after):
-                    todo.append((child, after))
+                d = machine.distance(state)
+                if d is not None and d <= error_budget(child) and (best is None or (d, child) < best):
+                    best = (d, child)
         return None if best is None else (best[1], best[0])
 
 
-def error_budget(word: str) -> int:
-    return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
-
-
 class Lexicon:
     """Weighted terms, with a bounded memory of tokens already looked up."""
 
@@ -202,15 +223,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: int, hel
 
 
 def learn_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, most: int = MOST_TERMS) -> dict[str, float]:
-    """Smoothed log odds of the terms that stand out in toxic documents."""
-    found = []
+    """Smoothed log odds of the terms that stand out in toxic documents.
+
+    The log-likelihood ratio has to be far beyond chance for any of some million words, and
+    the odds have to be high, as repeated documents make their own words stand out a little.
+    """
+    found, share = [], n_toxic / max(1, n_toxic + n_clean)
     for word, a, b in counts:
-        if len(word) < 3 or a < max(3, 0.002 * n_toxic):
-            continue
         odds = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
-        spread = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if odds > 1.5 and odds / spread > 2.5:
-            found.append((-odds / spread, word, odds))
+        if len(word) < 3 or odds < LEAST_ODDS:
+            continue
+        n = a + b
+        ratio = 2 * (a * math.log(a / (n * share)) + (b * math.log(b / (n * (1 - share))) if b else 0.0))
+        if ratio >= LEAST_RATIO:
+            found.append((-ratio, word, odds))
     return {word: odds for _, word, odds in sorted(found)[:most]}
 
 
