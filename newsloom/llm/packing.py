@@ -1,8 +1,8 @@
 """Best-fit packing of tokenised documents into sequences.
 
-Tokens are looked up per blank-separated part of a text; only parts that the worker hasn't
-seen go to the tokenizer. Texts in which Python and the tokenizer disagree about blanks are
-encoded whole, so that ids are the tokenizer's own in every case.
+Tokens are looked up per pre-token; only pre-tokens that the worker hasn't seen go to the
+tokenizer. Texts in which Python and the tokenizer may disagree about letter case or blanks
+are encoded whole, so that ids are the tokenizer's own in every case.
 
 Pieces are dealt into groups of about ``GROUP`` by a hash, and each group is packed by
 itself: pieces go longest first, and among the open sequences that have room under every
@@ -20,6 +20,7 @@ a constraint by itself gets a sequence of its own.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -32,11 +33,16 @@ from newsloom.llm.common import map_texts, per_worker, stage
 CAPACITY = 4096
 END_ID = 1
 GROUP = 8192
-#: Entries of a worker's memory of encoded parts; beyond it the memory starts anew.
-CACHE = 300_000
+#: Entries of a worker's memory of encoded pre-tokens; beyond it the memory starts anew.
+CACHE = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
-#: Blanks to Python that are none to the tokenizer.
-ODD_BLANKS = re.compile("[\x1c-\x1f]").search
+#: The tokenizer's own pre-token pattern (fixed value).
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Beyond Latin and general punctuation, lower case or white space may be something else to Python
+#: than to the tokenizer.
+OTHER = "[^\\x09-\\x0d\\x20-\\x7e\\xa0-\\u012f\\u0131-\\u024f\\u2010-\\u2027\\u2030-\\u205e]"
+#: Start of the tokenizer's special strings, which it finds before it lower-cases.
+SPECIAL = "<|"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -48,39 +54,55 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    No pre-token crosses white space, so the ids of a text are those of its blank-separated
-    parts in turn, and each distinct part is encoded once.
+    Ids of a text are those of its pre-tokens in turn. Pre-tokens that the worker hasn't seen go
+    to the tokenizer in one string, with blanks between; the last id of each carries the end mark.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker per core
+        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.split = regex.compile(PRE_TOKEN).findall
+        self.other = re.compile(OTHER).search
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        ids = self._encode(" ".join(words))
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) == len(words):
+            data, at = ids.tobytes(), 0
+            for word, stop in zip(words, stops.tolist()):
+                self.cache[word] = data[at:stop]
+                at = stop
+        else:
+            self.cache.update((word, self._encode(word).tobytes()) for word in words)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if ODD_BLANKS(text):
-                out.append(self._encode([text])[0])
-                continue
-            # The tokenizer lower-cases anyway, but finds its special strings before it does.
-            parts = (text.lower() if text.isascii() and "<|" not in text else text).split()
-            cache = self.cache
-            new = [w for w in dict.fromkeys(parts) if w not in cache]
-            if new:
-                if len(cache) + len(new) > CACHE:
-                    cache.clear()
-                    new = list(dict.fromkeys(parts))
-                cache.update(zip(new, self._encode(new)))
-            out.append(b"".join([cache[w] for w in parts]))
-        return out
+        split = [
+            None if SPECIAL in text or self.other(text)
+            else self.split((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+            for text in texts
+        ]
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        cache = self.cache
+        new = {w for words in split if words for w in words if w not in cache}
+        if new:
+            self._learn(list(new))
+        return [
+            self._encode(text).tobytes() if words is None else b"".join([cache[w] for w in words])
+            for text, words in zip(texts, split)
+        ]
 
 
 def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
