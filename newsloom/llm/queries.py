@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontaminate, langid, licenses, packing, simhash, toxicity
+from newsloom.llm import ann, decontaminate, langid, licenses, packing, quality, simhash, token_counts, toxicity
 from newsloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,19 @@ def op1(spark, sf_dir):
 @query("op3_language_id")
 def op3(spark, sf_dir):
     return langid.language(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_token_counts")
+def op6(spark, sf_dir):
+    return token_counts.count_edits(read_table(spark, sf_dir, "documents"), token_counts.redactions())
+
+
+@query("op7_quality_classifier")
+def op7(spark, sf_dir):
+    return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op9_nearest_neighbours")
+def op9(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 100 = 0"))
