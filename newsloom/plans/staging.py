@@ -54,25 +54,27 @@ def unstage(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _width(kind: T.DataType, column) -> tuple[int, list]:
+    """Fixed bytes of a value, and expressions for its variable bytes."""
+    if type(kind) in _FIXED_WIDTH:
+        return _FIXED_WIDTH[type(kind)], []
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 8, [F.octet_length(column)]
+    if isinstance(kind, T.ArrayType) and type(kind.elementType) in _FIXED_WIDTH:
+        return 16, [F.size(column) * _FIXED_WIDTH[type(kind.elementType)]]
+    if isinstance(kind, T.StructType):
+        parts = [_width(f.dataType, column[f.name]) for f in kind.fields]
+        return 16 + sum(n for n, _ in parts), [x for _, xs in parts for x in xs]
+    # Anything else by the length of its JSON form.
+    return 16, [F.octet_length(F.to_json(F.struct(column)))]
+
+
 def measured_bytes(df: DataFrame) -> int:
-    """Size of a staged table in memory: row count and summed variable widths."""
-    fixed, variable = 32, []
-    for field in df.schema.fields:
-        kind = type(field.dataType)
-        if kind in _FIXED_WIDTH:
-            fixed += _FIXED_WIDTH[kind]
-        elif isinstance(field.dataType, T.StringType):
-            variable.append(F.octet_length(field.name))
-        elif isinstance(field.dataType, T.ArrayType):
-            width = _FIXED_WIDTH.get(type(field.dataType.elementType), 64)
-            variable.append(F.size(field.name) * width)
-        else:
-            variable.append(F.lit(256))
-    extra = sum(variable[1:], variable[0]) if variable else F.lit(0)
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(extra, F.lit(0))).alias("b")
-    ).first()
-    return int(row["n"] * fixed + (row["b"] or 0))
+    """Size of a staged table in memory: row count, fixed and summed variable widths."""
+    fixed, variable = _width(df.schema, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    extra = sum((F.coalesce(x, F.lit(0)) for x in variable), F.lit(0).cast("long"))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(extra).alias("b")).first()
+    return int(row["n"] * (32 + fixed) + (row["b"] or 0))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
