@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from newsloom.plans.staging import shared_dir, stage, unstage
 
 __all__ = [
-    "SPACE_LOWER", "WORD_LOWER", "components", "crc_mod", "map_texts", "per_worker", "read_table", "shared_dir", "space_words",
+    "SPACE_LOWER", "WORD_LOWER", "components", "crc_mod", "filter_texts", "map_texts", "per_worker", "read_table", "shared_dir", "space_words",
     "stage", "unstage", "word_runs",
 ]
 
@@ -80,6 +80,20 @@ def map_texts(
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def filter_texts(docs: DataFrame, keep: Callable[[list], list], *, text_col: str = "text", chunk_rows: int = 512) -> DataFrame:
+    """Rows of ``docs``, all columns, for whose texts (UTF-8, null as empty) ``keep`` is true; no shuffle."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, chunk_rows):
+                part = batch.slice(at, chunk_rows)
+                texts = [t or b"" for t in part.column(place).cast(pa.binary()).to_pylist()]
+                yield part.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def per_worker(key: str, make: Callable):
     """A value that a Python worker keeps from task to task, such as a loaded tokenizer."""
     store = sys.modules.setdefault("newsloom_worker_state", types.ModuleType("newsloom_worker_state")).__dict__

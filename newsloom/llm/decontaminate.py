@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import map_texts, word_runs
+from newsloom.llm.common import filter_texts, map_texts, word_runs
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -122,42 +122,53 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, thr
 
     ``item_ids`` lists the items held, ``containment`` their shares in the same order.
     """
-    spark = docs.sparkSession
     schema = "doc_id long, item_ids array<long>, containment array<double>"
 
     def scan(share) -> DataFrame:
-        known = _WordHash()
-
         def rows(ids, texts):
-            index = share.value
+            known = _WordHash()
             for i, text in zip(ids, texts):
-                if len(known) > 400_000:
-                    known.clear()
-                found = contained(word_runs(text), index, width, threshold, known)
+                found = contained(word_runs(text), share.value, width, threshold, known)
                 yield i, [x for x, _ in found], [s for _, s in found]
 
         return map_texts(docs, schema, rows, binary=True)
 
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()
-    block, merged = [], None
-    parts = []
-    for row in items:
-        block.append((row[0], row[1]))
-        if len(block) == BLOCK:
-            parts.append(scan(spark.sparkContext.broadcast(build_index(block, width, threshold))))
-            block = []
-    if block or not parts:
-        parts.append(scan(spark.sparkContext.broadcast(build_index(block, width, threshold))))
+    parts = [scan(share) for share in indexes(benchmark, width, threshold)]
     merged = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:
             merged = merged.unionByName(part)
-        # Every block returns every row once, so equal rows are counted and given back.
-        copies = F.count(F.lit(1)) / F.lit(len(parts))
+        # Every block returns every row once; rows of one id are told apart by what they hold only
+        # together, so they are given back as often as they came, each with all items of the id.
         merged = merged.groupBy("doc_id").agg(
-            F.flatten(F.collect_list(F.when(F.size("item_ids") > 0, F.arrays_zip("item_ids", "containment")))).alias("z"),
-            copies.cast("int").alias("n"),
-        ).withColumn("z", F.array_sort(F.array_distinct("z"))).withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).select(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_ids", "containment"))))).alias("z"),
+            (F.count(F.lit(1)) / F.lit(len(parts))).cast("int").alias("n"),
+        ).withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).select(
             "doc_id", F.col("z.item_ids").alias("item_ids"), F.col("z.containment").alias("containment")
         )
     return merged.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "containment")
+
+
+def indexes(benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block: int = BLOCK) -> list:
+    """Broadcast indexes of blocks of items; one empty index for an empty benchmark."""
+    context = benchmark.sparkSession.sparkContext
+    shares, held = [], []
+    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
+        held.append((row[0], row[1]))
+        if len(held) == block:
+            shares.append(context.broadcast(build_index(held, width, threshold)))
+            held = []
+    if held or not shares:
+        shares.append(context.broadcast(build_index(held, width, threshold)))
+    return shares
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` that hold no item, all columns."""
+    for share in indexes(benchmark, width, threshold):
+        def keep(texts, share=share):
+            known = _WordHash()
+            return [not contained(word_runs(t), share.value, width, threshold, known) for t in texts]
+
+        docs = filter_texts(docs, keep)
+    return docs

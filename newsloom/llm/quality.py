@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import crc_mod, map_texts
+from newsloom.llm.common import crc_mod, filter_texts, map_texts
 from newsloom.llm.toxicity import training_rows
 
 FIT_ROWS, FIT_PASSAGES = 6_000, 24
@@ -137,21 +137,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, fold: int =
     return {"mean": mean, "spread": spread, "w": train((x - mean) / spread, first, y)}
 
 
+def scores_of(model: dict, texts: list[bytes]) -> tuple[list[float], list[list[float]]]:
+    """Score of each text, and the attention of each of its passages."""
+    if not texts:
+        return [], []
+    if "share" in model:
+        counts = [max(1, -(-len(t.split()) // PASSAGE)) for t in texts]
+        return [model["share"]] * len(texts), [[1.0 / n] * n for n in counts]
+    parts = [bag(t) for t in texts]
+    first = np.cumsum([0] + [len(p) for p in parts[:-1]])
+    *_, attention, _, _, logit = _forward((np.concatenate(parts) - model["mean"]) / model["spread"], first, model["w"])
+    return _sigmoid(logit).tolist(), [a.tolist() for a in np.split(attention, first[1:])]
+
+
 def score(docs: DataFrame, model: dict, *, fold: int = 5, held_out: int = 0, cut: float = CUT) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted, attention); attention is the weight of each passage."""
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(ids, texts):
-        m = share.value
-        if "share" in m:
-            yield from ((i, m["share"], [1.0 / max(1, -(-len(t.split()) // PASSAGE))] * max(1, -(-len(t.split()) // PASSAGE))) for i, t in zip(ids, texts))
-            return
         for at in range(0, len(ids), 512):
-            parts = [bag(t) for t in texts[at: at + 512]]
-            first = np.cumsum([0] + [len(p) for p in parts[:-1]])
-            *_, attention, size, _, logit = _forward((np.concatenate(parts) - m["mean"]) / m["spread"], first, m["w"])
-            for i, p, a, n in zip(ids[at: at + 512], _sigmoid(logit).tolist(), first.tolist(), size.tolist()):
-                yield i, p, attention[a: a + n].tolist()
+            yield from zip(ids[at: at + 512], *scores_of(share.value, texts[at: at + 512]))
 
     scored = map_texts(docs, "doc_id long, score double, attention array<float>", rows, binary=True)
     return scored.select(
@@ -163,3 +168,9 @@ def score(docs: DataFrame, model: dict, *, fold: int = 5, held_out: int = 0, cut
 def quality(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> DataFrame:
     """Fit on the labelled sample and score every row of ``docs``."""
     return score(docs, fit(docs, labels, rows=rows))
+
+
+def keep_good(docs: DataFrame, model: dict, *, cut: float = CUT) -> DataFrame:
+    """Rows of ``docs`` with a score of at least ``cut``, all columns."""
+    share = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_texts(docs, lambda texts: [s >= cut for s in scores_of(share.value, texts)[0]])

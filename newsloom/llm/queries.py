@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import ann, decontaminate, langid, licenses, packing, quality, simhash, token_counts, toxicity
+from newsloom.llm import (
+    ann, decontaminate, langid, licenses, line_dedup, packing, quality, simhash, token_counts, toxicity,
+)
 from newsloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +94,9 @@ def op7(spark, sf_dir):
 def op9(spark, sf_dir):
     rows = read_table(spark, sf_dir, "embeddings")
     return ann.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
+@query("op10_line_dedup")
+def op10(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, counts=True)

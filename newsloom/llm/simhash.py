@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import components, map_texts, space_words, stage
+from newsloom.plans.staging import broadcast_if_small
 
 WIDTH = 4
 SEED = 42
@@ -74,7 +75,7 @@ def fingerprints(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
             fp = fingerprint(text, width)
             yield i, fp - (1 << 64) if fp >> 63 else fp
 
-    return map_texts(docs, "doc_id long, fp long", rows, binary=True)
+    return map_texts(docs, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long", rows, binary=True)
 
 
 def _find(parent: list, x: int) -> int:
@@ -245,3 +246,18 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, max_bits: int = MAX_
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, *, width: int = WIDTH, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, the one of the smallest id (then text hash)."""
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).alias("i"), F.xxhash64(text).alias("h")).alias("key"), text.alias("text"))
+    marks = stage(near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), width=width, max_bits=max_bits))
+    other = stage(marks.where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct())
+    kept = keyed.join(broadcast_if_small(other), "key", "left_anti")
+    # Equal rows have equal keys; of those that are left, one stays.
+    again = stage(marks.where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).count().where("count > 1").select("key"))
+    if not again.isEmpty():
+        again = broadcast_if_small(again)
+        kept = kept.join(again, "key", "left_anti").unionByName(kept.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    return kept.select("row.*")
