@@ -27,12 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import crc_mod, map_texts
+from newsloom.llm.common import crc_mod, map_texts, stage
 
 FIT_ROWS = 20_000
 MOST_TERMS = 1_000
 #: Least log-likelihood ratio and log odds of a term.
-LEAST_RATIO, LEAST_ODDS = 45.0, 2.5
+LEAST_RATIO, LEAST_ODDS = 45.0, 2.0
 CUT = 0.7
 WINDOW = 12
 QUOTES = "\"“”„«»‘’'"
@@ -146,6 +146,8 @@ class Lexicon:
 
     def find(self, token: str) -> tuple[str, int] | None:
         """(term, edits) of a token."""
+        if token in self.known:
+            return self.known[token]
         if len(self.known) > 500_000:
             self.known.clear()
         word = token if token.isalpha() else token.translate(_FOLD)
@@ -192,7 +194,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
         places.append(i)
     densest = max(sum(1 for p in places[k: k + 50] if p - places[k] <= 2 * WINDOW) for k in range(len(places)))
     return [
-        math.log1p(exact), math.log1p(wrong), math.log1p(quoted), float(exact > 0), math.log(densest),
+        math.log1p(exact + wrong), math.log1p(wrong), math.log1p(quoted), float(exact + wrong > 0), math.log(densest),
         math.log1p(1000 * len(hits) / len(words)),
     ]
 
@@ -225,8 +227,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: int, hel
 def learn_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, most: int = MOST_TERMS) -> dict[str, float]:
     """Smoothed log odds of the terms that stand out in toxic documents.
 
-    The log-likelihood ratio has to be far beyond chance for any of some million words, and
-    the odds have to be high, as repeated documents make their own words stand out a little.
+    The log-likelihood ratio has to be far beyond chance for any of some million words.
     """
     found, share = [], n_toxic / max(1, n_toxic + n_clean)
     for word, a, b in counts:
@@ -243,24 +244,30 @@ def learn_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int,
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, fold: int = 3, held_out: int = 1) -> dict:
     """Weights of terms and of the logistic regression, from a bounded sample."""
     sample = training_rows(docs, labels, "toxic", fold, held_out, rows)
+    # Terms are counted over distinct lines, so that copies of a document don't vouch for their words.
+    lines = stage(
+        sample.select((F.col("y") > 0).cast("int").alias("y"), F.explode(F.split("text", "\n")).alias("text"))
+        .groupBy("text").agg(F.min("y").alias("y"))
+    )
 
     def count_words(ys, texts):
         seen = {0: Counter(), 1: Counter()}
         for y, text in zip(ys, texts):
-            seen[int(y > 0)].update({w if w.isalpha() else w.translate(_FOLD) for w in tokens(text)})
+            seen[y].update({w if w.isalpha() else w.translate(_FOLD) for w in tokens(text)})
         for word in seen[0].keys() | seen[1].keys():
             yield word, seen[1][word], seen[0][word]
 
-    words = map_texts(sample, "word string, a long, b long", count_words, id_col="y", chunk_chars=64 << 20)
-    total = dict(sample.groupBy((F.col("y") > 0).alias("t")).count().collect())
+    words = map_texts(lines, "word string, a long, b long", count_words, id_col="y", chunk_chars=64 << 20)
+    total = dict(lines.groupBy((F.col("y") > 0).alias("t")).count().collect())
     n_toxic, n_clean = total.get(True, 0), total.get(False, 0)
     summed = words.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     strong = summed.where((F.col("a") >= 3) & (F.col("a") * (n_clean + 1) > 3 * F.col("b") * (n_toxic + 1)))
     # Strongest first, so what comes to the driver is bounded.
     counts = [tuple(r) for r in strong.orderBy(F.desc("a"), "word").limit(20 * MOST_TERMS).collect()]
     weights = learn_terms(counts, n_toxic, n_clean)
-    base = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
     if not weights or not n_toxic or not n_clean:
+        ys = dict(sample.groupBy((F.col("y") > 0).alias("t")).count().collect())
+        base = (ys.get(True, 0) + 0.5) / (sum(ys.values()) + 1)
         return {"terms": {}, "clean": frozenset(), "w": [0.0] * 6 + [math.log(base / (1 - base))]}
     bare = Lexicon(weights)
 
@@ -274,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, fold: int =
         yield from seen.items()
 
     # Misspelling-like tokens of clean documents: few, as they're near a term.
-    rows_of = map_texts(sample, "word string, n long", near_misses, id_col="y", chunk_chars=64 << 20)
+    rows_of = map_texts(lines, "word string, n long", near_misses, id_col="y", chunk_chars=64 << 20)
     clean = frozenset(r[0] for r in rows_of.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(50 * MOST_TERMS).collect())
     lexicon = Lexicon(weights, clean)
     table = map_texts(
