@@ -122,14 +122,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, thr
 
     ``item_ids`` lists the items held, ``containment`` their shares in the same order.
     """
-    schema = "doc_id long, item_ids array<long>, containment array<double>"
+    schema = "doc_id long, mark long, item_ids array<long>, containment array<double>"
 
     def scan(share) -> DataFrame:
         def rows(ids, texts):
             known = _WordHash()
             for i, text in zip(ids, texts):
                 found = contained(word_runs(text), share.value, width, threshold, known)
-                yield i, [x for x, _ in found], [s for _, s in found]
+                yield i, xxhash.xxh64_intdigest(text) >> 1, [x for x, _ in found], [s for _, s in found]
 
         return map_texts(docs, schema, rows, binary=True)
 
@@ -138,9 +138,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, thr
     if len(parts) > 1:
         for part in parts[1:]:
             merged = merged.unionByName(part)
-        # Every block returns every row once; rows of one id are told apart by what they hold only
-        # together, so they are given back as often as they came, each with all items of the id.
-        merged = merged.groupBy("doc_id").agg(
+        # Every block returns every row once; equal rows are counted and given back.
+        merged = merged.groupBy("doc_id", "mark").agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_ids", "containment"))))).alias("z"),
             (F.count(F.lit(1)) / F.lit(len(parts))).cast("int").alias("n"),
         ).withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).select(

@@ -5,7 +5,7 @@ lower-cased) joined by single blanks. Phrases are found word by word. Short noti
 found with up to ``edits(notice)`` errors: a notice is split into one part more than that, so
 any occurrence holds one part unchanged (pigeonhole); an Aho-Corasick automaton over all parts
 locates candidates, and the regex library's bounded-error matching verifies each window and
-gives the span and the number of edits.
+gives the span and the number of edits. The words that name the licence must stand unchanged in it.
 
 Edge cases: a null text is an empty one: no words, no label, score 0. Windows that overlap are
 merged before matching, so a long text full of seeds is read once. Repeated rows are returned
@@ -24,31 +24,32 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Short notices as their texts are commonly written, and their labels (fixed values).
+#: Short notices as their texts are commonly written, their labels, and the words that tell the licence
+#: from others and so must stand unchanged (fixed values).
 NOTICES = {
-    "released under the mit license": "mit",
-    "licensed under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "licensed under the apache license version 2 0": "apache-2",
-    "you may not use this file except in compliance with the license": "apache-2",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "creative commons attribution noncommercial": "cc-by-nc",
-    "licensed under cc by sa 4 0": "cc-by-sa",
-    "creative commons attribution sharealike": "cc-by-sa",
-    "licensed under the gnu general public license": "gpl",
-    "terms of the gnu general public license": "gpl",
-    "licensed under the gnu lesser general public license": "lgpl",
-    "licensed under the gnu affero general public license": "agpl",
-    "redistribution and use in source and binary forms": "bsd",
-    "subject to the terms of the mozilla public license": "mpl",
-    "permission to use copy modify and or distribute this software": "isc",
-    "this is free and unencumbered software released into the public domain": "unlicense",
+    "released under the mit license": ("mit", "mit"),
+    "licensed under the mit license": ("mit", "mit"),
+    "permission is hereby granted free of charge to any person obtaining a copy": ("mit", ""),
+    "licensed under the apache license version 2 0": ("apache-2", "apache"),
+    "you may not use this file except in compliance with the license": ("apache-2", ""),
+    "licensed under cc by nc 4 0": ("cc-by-nc", "cc by nc"),
+    "creative commons attribution noncommercial": ("cc-by-nc", "commercial"),
+    "licensed under cc by sa 4 0": ("cc-by-sa", "cc by sa"),
+    "creative commons attribution sharealike": ("cc-by-sa", "share"),
+    "licensed under the gnu general public license": ("gpl", "gnu general"),
+    "terms of the gnu general public license": ("gpl", "gnu general"),
+    "licensed under the gnu lesser general public license": ("lgpl", "lesser"),
+    "licensed under the gnu affero general public license": ("agpl", "affero"),
+    "redistribution and use in source and binary forms": ("bsd", ""),
+    "subject to the terms of the mozilla public license": ("mpl", "mozilla"),
+    "permission to use copy modify and or distribute this software": ("isc", ""),
+    "this is free and unencumbered software released into the public domain": ("unlicense", ""),
 }
 
 
 def edits(notice: str) -> int:
-    """Errors allowed in a notice: one in twelve characters, so that a seed has eleven or more."""
-    return max(1, len(notice) // 12 - 1)
+    """Errors allowed in a notice: one in ten characters, so that a seed has seven or more."""
+    return max(1, len(notice) // 10)
 
 
 def seeds(notice: str) -> list[tuple[str, int]]:
@@ -61,7 +62,7 @@ def seeds(notice: str) -> list[tuple[str, int]]:
 class NoticeSearch:
     """Fuzzy search of several notices in normalised texts."""
 
-    def __init__(self, notices: dict[str, str]):
+    def __init__(self, notices: dict[str, tuple[str, str]]):
         import ahocorasick
         import regex
 
@@ -96,7 +97,9 @@ class NoticeSearch:
         for n, spans in windows.items():
             for a, b in spans:
                 while m := self.patterns[n].search(text, a, b):
-                    found.append((self.notices[n][1], m.start(), m.end(), sum(m.fuzzy_counts)))
+                    label, key = self.notices[n][1]
+                    if key in m.group():
+                        found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
                     a = max(m.end(), a + 1)
         return sorted(found)
 
@@ -114,7 +117,7 @@ def phrase_places(words: list[bytes], joined: bytes, phrases: dict[str, str]) ->
     return places
 
 
-def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, notices: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Words, places, labels and fuzzy matches of every row of ``docs``.
 
     ``matches`` holds (label, start, stop, edits) in characters of the normalised text; the
@@ -123,7 +126,7 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, notices: dic
     phrases = PHRASES if phrases is None else phrases
     notices = NOTICES if notices is None else notices
     allowed = {}
-    for text, label in notices.items():
+    for text, (label, _) in notices.items():
         allowed[label] = max(allowed.get(label, 0), edits(text))
     search = None
 
