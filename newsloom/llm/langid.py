@@ -201,11 +201,16 @@ class Tagger:
             emission[at: at + len(words)] = self.emissions(words)
             real[at: at + len(words)] = True
         emission, real = emission.reshape(total, SEGMENT, k), real.reshape(total, SEGMENT)
+        starts = np.zeros(total, bool)
+        starts[first[each > 0]] = True
         # Transfer matrix of each segment; padding leaves it as it is.
         product = np.broadcast_to(np.eye(k), (total, k, k)).copy()
         for i in range(SEGMENT):
             live = np.flatnonzero(real[:, i])
-            after = (product[live] @ self.trans) * emission[live, i][:, None, :]
+            moved = product[live] @ self.trans
+            if i == 0:
+                moved[starts[live]] = np.eye(k)  # no transition leads to the first word
+            after = moved * emission[live, i][:, None, :]
             product[live] = after / after.sum((1, 2), keepdims=True)
         # Messages into each segment, one step per segment of the longest text.
         into, back = np.full((total, k), 1.0 / k), np.ones((total, k))
@@ -220,7 +225,10 @@ class Tagger:
         fwd = np.empty_like(emission)
         state = into
         for i in range(SEGMENT):
-            after = (state @ self.trans) * emission[:, i]
+            moved = state @ self.trans
+            if i == 0:
+                moved[starts] = state[starts]
+            after = moved * emission[:, i]
             state = np.where(real[:, i, None], after / after.sum(1, keepdims=True), state)
             fwd[:, i] = state
         state = back
