@@ -48,7 +48,8 @@ def html_paragraphs(c: Column) -> Column:
 
 
 def is_json_object(c: Column) -> Column:
-    return F.ltrim(c).startswith("{") & F.try_parse_json(c).isNotNull()
+    # White space as JSON has it may stand in front.
+    return c.rlike(r"^[ \t\r\n]*\{") & F.try_parse_json(c).isNotNull()
 
 
 def json_descriptions(c: Column) -> Column:

@@ -26,11 +26,43 @@ def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
     return max(math.ceil(rows / block_rows), min(4, math.ceil(rows / 256)), 1)
 
 
-def block_pairs(vecs: DataFrame, digest: Digest, schema: str, blocks: int) -> DataFrame:
+def _tiles(digest: Digest, ids, a, partner_ids, b, same: bool, decimals: int):
+    for start in range(0, len(ids), TILE_ROWS):
+        rows = slice(start, start + TILE_ROWS)
+        yield digest(ids[rows], partner_ids, np.round(a[rows] @ b.T, decimals), same)
+
+
+def _all(parts: list[pd.DataFrame], schema: str) -> pd.DataFrame:
+    return pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in schema.split(",")])
+
+
+def block_join(rows: DataFrame, partners: DataFrame, digest: Digest, schema: str, blocks: tuple[int, int], decimals: int = 6) -> DataFrame:
+    """Digest rows of every vector of ``rows`` against every block of ``partners``, both (id, vec)."""
+    own, other = blocks
+    left = rows.select(
+        "id", "vec", F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("j")
+    )
+    right = partners.select(
+        F.col("id").alias("right_id"), F.col("vec").alias("right_vec"),
+        F.explode(F.sequence(F.lit(0), F.lit(own - 1))).alias("right_i"), F.pmod(F.xxhash64("id"), F.lit(other)).cast("int").alias("right_j"),
+    )
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            x, y = x.sort_values("id"), y.sort_values("right_id")
+            a, b = np.stack(x["vec"].to_numpy()), np.stack(y["right_vec"].to_numpy())
+            out.extend(_tiles(digest, x["id"].to_numpy(), a, y["right_id"].to_numpy(), b, False, decimals))
+        return _all(out, schema)
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("right_i", "right_j")).applyInPandas(run, schema)
+
+
+def block_pairs(vecs: DataFrame, digest: Digest, schema: str, blocks: int, decimals: int = 6) -> DataFrame:
     """Digest rows of every vector against every block of the table of (id, vec).
 
-    ``digest(ids, partner_ids, sims, same)`` sees a tile of similarities with both
-    id arrays ascending; ``same`` marks tiles of a block against itself.
+    ``digest(ids, partner_ids, sims, same)`` sees a tile of similarities, rounded to
+    ``decimals``, with both id arrays ascending; ``same`` marks tiles of a block against itself.
     """
     tagged = vecs.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
     left = tagged.select("id", "vec", F.col("own").alias("i"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("j"))
@@ -41,12 +73,6 @@ def block_pairs(vecs: DataFrame, digest: Digest, schema: str, blocks: int) -> Da
         F.explode(F.sequence(F.lit(0), "own")).alias("right_i"), F.col("own").alias("right_j"),
     )
 
-    def tiles(ids, a, partner_ids, b, same):
-        for start in range(0, len(ids), TILE_ROWS):
-            rows = slice(start, start + TILE_ROWS)
-            sims = np.round(a[rows] @ b.T, 6)
-            yield digest(ids[rows], partner_ids, sims, same)
-
     def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         same = key[0] == key[1]
         out = []
@@ -54,10 +80,10 @@ def block_pairs(vecs: DataFrame, digest: Digest, schema: str, blocks: int) -> Da
             x, y = x.sort_values("id"), y.sort_values("right_id")
             a, b = np.stack(x["vec"].to_numpy()), np.stack(y["right_vec"].to_numpy())
             ia, ib = x["id"].to_numpy(), y["right_id"].to_numpy()
-            out.extend(tiles(ia, a, ib, b, same))
+            out.extend(_tiles(digest, ia, a, ib, b, same, decimals))
             if not same:
-                out.extend(tiles(ib, b, ia, a, False))
-        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in schema.split(",")])
+                out.extend(_tiles(digest, ib, b, ia, a, False, decimals))
+        return _all(out, schema)
 
     return left.groupBy("i", "j").cogroup(right.groupBy("right_i", "right_j")).applyInPandas(run, schema)
 
@@ -103,14 +129,31 @@ def low_partners(flag_below: float) -> Digest:
     return digest
 
 
-def flagged_partners(flag_below: float) -> Digest:
-    """Every partner at most ``flag_below``; for sets of proven size only."""
+def smaller_partners(threshold: float) -> Digest:
+    """The ids that have a partner of smaller id above ``threshold``."""
+
+    def digest(ids, partners, sims, same):
+        found = ((sims > threshold) & (partners[None, :] < ids[:, None])).any(axis=1)
+        return pd.DataFrame({"id": ids[found]})
+
+    return digest
+
+
+def lowest_partners(k: int, flag_below: float) -> Digest:
+    """The k lowest partners of each row that are at most ``flag_below``, ties by partner id."""
 
     def digest(ids, partners, sims, same):
         keep = sims <= flag_below
         if same:
             keep &= ids[:, None] != partners[None, :]
+        if k < sims.shape[1]:
+            masked = np.where(keep, sims, np.inf)
+            keep &= sims <= np.partition(masked, k - 1, axis=1)[:, k - 1][:, None]
         row, col = np.nonzero(keep)
-        return pd.DataFrame({"id_a": ids[row], "id_b": partners[col], "sim": sims[row, col] + 0.0})
+        score = sims[row, col]
+        order = np.lexsort((col, score, row))
+        row, col, score = row[order], col[order], score[order]
+        top = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+        return pd.DataFrame({"id": ids[row[top]], "other": partners[col[top]], "sim": score[top] + 0.0})
 
     return digest

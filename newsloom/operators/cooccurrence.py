@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.stats import top_rows
+from newsloom.plans.staging import broadcast_if_small, stage
 
 
 def _near_pairs(words: Column, distance: int) -> Column:
@@ -17,19 +18,15 @@ def _near_pairs(words: Column, distance: int) -> Column:
     )
 
 
-def cooccurrence_pairs(
-    paragraphs: DataFrame, *, window: int = 5, first_window_only: bool = False
-) -> DataFrame:
+def cooccurrence_pairs(paragraphs: DataFrame, *, window: int = 5) -> DataFrame:
     """(a, b, n): unordered pairs of different words within ``window`` positions.
 
     ``paragraphs`` has one ``words`` array per row. The pairs come from the array
     itself, so the only shuffle is the map-side combined count.
-    ``first_window_only`` looks at the first ``window`` words of each paragraph.
     """
-    words = F.slice("words", 1, window) if first_window_only else F.col("words")
     near = F.concat(*(_near_pairs(F.col("words"), d) for d in range(1, window)))
     pairs = (
-        paragraphs.select(words.alias("words"))
+        paragraphs.select("words")
         .where(F.size("words") > 1)
         .select(F.explode(near).alias("p"))
         .select("p.a", "p.b")
@@ -55,15 +52,17 @@ def window_tf(pairs: DataFrame, vocabulary: DataFrame | None = None) -> DataFram
 
 
 def cooccurrence_expansion(pairs: DataFrame, *, k: int = 20) -> DataFrame:
-    """(word, rank, neighbour, score): partners by n(a,b) / (tf(a) * tf(b))."""
-    sides = _both_sides(pairs)
-    tf = window_tf(pairs)
-    scored = sides.join(tf.select("word", F.col("tf").alias("own")), "word").join(
-        tf.select(F.col("word").alias("partner"), F.col("tf").alias("other")), "partner"
-    )
-    score = F.col("n").cast("double") / (F.col("own").cast("double") * F.col("other").cast("double"))
+    """(word, rank, neighbour, score): partners by n(a,b) / (tf(a) * tf(b)).
+
+    Pairs are scored once, and given to both words only for the limited ranking.
+    """
+    pairs = stage(pairs)
+    tf = broadcast_if_small(stage(window_tf(pairs)))
+    scored = pairs.join(tf.select(F.col("word").alias("a"), F.col("tf").alias("own")), "a").join(
+        tf.select(F.col("word").alias("b"), F.col("tf").alias("other")), "b"
+    ).select("a", "b", (F.col("n").cast("double") / (F.col("own").cast("double") * F.col("other").cast("double"))).alias("n"))
     best = top_rows(
-        scored.select("word", F.col("partner").alias("neighbour"), score.alias("score")),
+        _both_sides(scored).select("word", F.col("partner").alias("neighbour"), F.col("n").alias("score")),
         ["word"], [F.desc("score"), F.asc("neighbour")], k,
     )
     return best.select("word", "rank", "neighbour", "score")

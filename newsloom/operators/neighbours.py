@@ -20,17 +20,14 @@ def word_neighbours(
     k: int = 24,
     threshold: float | None = 0.0,
     inclusive: bool = False,
-    sample: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(word, rank, neighbour, score): the k most similar other words of each word.
 
     ``vecs`` is (word, vec) with unit vectors and one row per word. ``threshold`` is
-    a lower bound on the similarity (strict unless ``inclusive``), ``sample`` the
-    number of words to work on.
+    a lower bound on the similarity (strict unless ``inclusive``).
     """
-    words = vecs if sample is None else vecs.orderBy("word").limit(sample)
-    table = stage(words.select(F.col("word").alias("id"), F.col("vec").cast("array<double>").alias("vec")))
+    table = stage(vecs.select(F.col("word").alias("id"), F.col("vec").cast("array<double>").alias("vec")))
     kind = _sql_type(table, "id")
     pairs = block_pairs(
         table, best_partners(k, threshold, inclusive),

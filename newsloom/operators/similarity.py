@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.vectors import vec_cosine, vec_dot, vec_unit
-from newsloom.operators.blocks import block_count, block_pairs, flagged_partners
+from newsloom.operators.blocks import block_count, block_pairs, lowest_partners
+from newsloom.operators.stats import top_rows
 from newsloom.plans.staging import stage
 
 
@@ -55,17 +56,14 @@ def shared_words_rank(items: DataFrame, words: Sequence[str]) -> DataFrame:
     })
 
 
-def similarity_matrix(docvecs: DataFrame, *, flag_below: float = 0.8, most: int = 2000) -> DataFrame:
-    """(id_a, id_b, sim): ordered pairs of a small set that are at most ``flag_below``.
+def lowest_similarities(docvecs: DataFrame, *, k: int, flag_below: float = 0.8) -> DataFrame:
+    """(id, rank, other, sim): the k least similar others of each document, at most ``flag_below``.
 
-    The set is the result of a bounded search, such as ``similar_documents`` with a
-    limit. A set larger than ``most`` is refused: ``low_similarity`` digests those.
+    The useful part of a similarity matrix: bounded per document, whatever the size of the set.
     """
     rows = stage(docvecs.select("id", vec_unit(F.col("vec")).alias("vec")))
-    size = rows.count()
-    if size > most:
-        raise ValueError(f"{size} documents are more than {most}; use low_similarity")
     kind = rows.schema["id"].dataType.simpleString()
-    return block_pairs(
-        rows, flagged_partners(flag_below), f"id_a {kind}, id_b {kind}, sim double", block_count(size)
+    low = block_pairs(
+        rows, lowest_partners(k, flag_below), f"id {kind}, other {kind}, sim double", block_count(rows.count())
     )
+    return top_rows(low, ["id"], [F.asc("sim"), F.asc("other")], k).select("id", "rank", "other", "sim")

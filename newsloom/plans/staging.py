@@ -30,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    # One machine only, as in tests.
     folder = tempfile.mkdtemp(prefix="newsloom-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -86,12 +87,11 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 
-def spread(df: DataFrame, per_split: int = 8) -> DataFrame:
-    """Cut a scan with fewer splits than cores into more tasks.
+def dealt(df: DataFrame) -> DataFrame:
+    """A scan dealt out anew if the session says so, else as it is.
 
-    Tokenising is bound by CPU, and a small table often is one split. Scans with
-    enough splits are returned as they are, so large inputs are never shuffled.
+    ``newsloom.scanPartitions`` is for tables of one row group on one machine, which Spark
+    can't split; a cluster session leaves it unset, and texts are read where they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df if splits >= cores else df.repartition(min(cores, splits * per_split))
+    partitions = df.sparkSession.conf.get("newsloom.scanPartitions", None)
+    return df.repartition(int(partitions)) if partitions else df

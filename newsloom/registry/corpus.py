@@ -15,7 +15,7 @@ from newsloom.functions.terms import word_counts
 from newsloom.functions.vectors import as_doubles, vec_unit
 from newsloom.operators.category import doc_keyword_vector
 from newsloom.operators.stats import doc_tf, tfidf_stats, top_rows
-from newsloom.plans.staging import broadcast_if_small, spread, stage
+from newsloom.plans.staging import broadcast_if_small, dealt, stage
 from newsloom.sources.articles import article_words, segment_articles
 
 HEADLINE = 200
@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+    return dealt(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:

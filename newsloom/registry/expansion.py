@@ -53,15 +53,11 @@ pairs AS MATERIALIZED (
   SELECT least(x.word, y.word) AS a, greatest(x.word, y.word) AS b, count(*) AS n
   FROM kept x JOIN (SELECT unnest([1, 2, 3, 4]) AS d) ON true
   JOIN kept y ON y.id = x.id AND y.sentence = x.sentence AND y.p = x.p + d
-  WHERE x.word <> y.word {{limit}} GROUP BY 1, 2),
+  WHERE x.word <> y.word GROUP BY 1, 2),
 sides AS (SELECT a AS word, b AS partner, n FROM pairs UNION ALL SELECT b, a, n FROM pairs),
 wtf AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS tf FROM sides GROUP BY word)"""
 
 
-def cooccur_sql(limit=""):
-    return COOCCUR.replace("{limit}", limit)
-
-
 def paragraphs(spark, sf):
     """Body lines with the words whose nature counts as vocabulary."""
     lines = c.segmented(spark, sf).select("id", F.explode("sentences").alias("words"))
@@ -69,22 +65,14 @@ def paragraphs(spark, sf):
     return lines.select("id", kept.alias("words"))
 
 
-@query("cooccurrence_pairs", f"WITH {cooccur_sql()} SELECT a, b, n FROM pairs")
+@query("cooccurrence_pairs", f"WITH {COOCCUR} SELECT a, b, n FROM pairs")
 def cooccurrence_pairs(spark, sf):
     return co.cooccurrence_pairs(paragraphs(spark, sf))
 
 
-@query(
-    "cooccurrence_pairs_first_window",
-    f"WITH {cooccur_sql('AND x.p <= 5 AND y.p <= 5')} SELECT a, b, n FROM pairs",
-)
-def cooccurrence_pairs_first_window(spark, sf):
-    return co.cooccurrence_pairs(paragraphs(spark, sf), first_window_only=True)
-
-
 @query(
     "window_tf",
-    f"""WITH {cooccur_sql()}, v AS (SELECT DISTINCT word FROM kept)
+    f"""WITH {COOCCUR}, v AS (SELECT DISTINCT word FROM kept)
         SELECT word, coalesce(tf, 0) AS tf FROM v LEFT JOIN wtf USING (word)""",
 )
 def window_tf(spark, sf):
@@ -95,7 +83,7 @@ def window_tf(spark, sf):
 
 @query(
     "cooccurrence_expansion",
-    f"""WITH {cooccur_sql()}, v AS (SELECT DISTINCT word FROM kept),
+    f"""WITH {COOCCUR}, v AS (SELECT DISTINCT word FROM kept),
         scored AS (SELECT s.word, s.partner, n::DOUBLE / (x.tf::DOUBLE * y.tf::DOUBLE) AS score
           FROM sides s JOIN wtf x ON x.word = s.word JOIN wtf y ON y.word = s.partner),
         best AS (SELECT word, string_agg(partner, ',' ORDER BY rank) AS partners, max(score) AS top, count(*) AS n
@@ -140,14 +128,16 @@ def similar_documents(spark, sf):
 @query(
     "low_similarity_pairs",
     f"""WITH {_E_SQL}, s AS (SELECT u.id, u.vec FROM u, (SELECT vec FROM u WHERE id = 7) q
-          WHERE list_dot_product(u.vec, q.vec) > 0.15 ORDER BY id LIMIT 50)
-        SELECT a.id AS id_a, b.id AS id_b, round(list_dot_product(a.vec, b.vec), 6) + 0.0 AS sim
-        FROM s a JOIN s b ON a.id <> b.id WHERE round(list_dot_product(a.vec, b.vec), 6) <= 0.8""",
+          WHERE list_dot_product(u.vec, q.vec) > 0.15),
+        p AS (SELECT a.id, b.id AS other, round(list_dot_product(a.vec, b.vec), 6) + 0.0 AS sim
+          FROM s a JOIN s b ON a.id <> b.id WHERE round(list_dot_product(a.vec, b.vec), 6) <= 0.8)
+        SELECT id, rank, other, sim FROM (
+          SELECT *, (row_number() OVER (PARTITION BY id ORDER BY sim, other))::INT AS rank FROM p) WHERE rank <= 5""",
 )
 def low_similarity_pairs(spark, sf):
-    """The pairs among the documents found similar to one document, at most 50."""
-    found = sim.similar_documents(docs(spark, sf), 7, threshold=0.15, limit=50)
-    return sim.similarity_matrix(found, flag_below=0.8)
+    """The five least similar others of every document found similar to one document."""
+    found = sim.similar_documents(docs(spark, sf), 7, threshold=0.15)
+    return sim.lowest_similarities(found, k=5, flag_below=0.8)
 
 
 @query(

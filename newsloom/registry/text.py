@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import clean, strings, terms
 from newsloom.operators.cooccurrence import cooccurrence_pairs
 from newsloom.operators.profile import clean_text, profile_text
-from newsloom.plans.staging import spread
+from newsloom.plans.staging import dealt
 from newsloom.registry import corpus as c
 from newsloom.registry import query
 from newsloom.registry.stats import nature_rule
@@ -184,7 +184,7 @@ def page_single_line(spark, sf):
 )
 def page_paragraph_pairs(spark, sf):
     pages = c.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
-    return cooccurrence_pairs(segment_paragraphs(spread(pages)))
+    return cooccurrence_pairs(segment_paragraphs(dealt(pages)))
 
 
 @query(
