@@ -32,7 +32,9 @@ from newsloom.llm.common import crc_mod, map_texts, stage
 FIT_ROWS = 20_000
 MOST_TERMS = 1_000
 #: Least log-likelihood ratio and log odds of a term.
-LEAST_RATIO, LEAST_ODDS = 45.0, 2.0
+LEAST_RATIO, LEAST_ODDS = 25.0, 3.0
+#: Terms of a toxic document that explain it.
+COVER = 3
 CUT = 0.7
 WINDOW = 12
 QUOTES = "\"“”„«»‘’'"
@@ -241,6 +243,22 @@ def learn_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int,
     return {word: odds for _, word, odds in sorted(found)[:most]}
 
 
+def needed_terms(weights: dict[str, float], documents: set[frozenset[str]]) -> dict[str, float]:
+    """The terms, strongest first, that help explain toxic documents, given by the terms they hold.
+
+    A document with ``COVER`` chosen terms is explained. So a toxic document that was copied and
+    edited a thousand times doesn't bring in its ordinary words beside the terms it holds.
+    """
+    held = {d: 0 for d in documents}
+    chosen = {}
+    for word, odds in weights.items():
+        if any(n < COVER and word in d for d, n in held.items()):
+            chosen[word] = odds
+            for d in documents:
+                held[d] += word in d
+    return chosen
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, fold: int = 3, held_out: int = 1) -> dict:
     """Weights of terms and of the logistic regression, from a bounded sample."""
     sample = training_rows(docs, labels, "toxic", fold, held_out, rows)
@@ -265,6 +283,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, fold: int =
     # Strongest first, so what comes to the driver is bounded.
     counts = [tuple(r) for r in strong.orderBy(F.desc("a"), "word").limit(20 * MOST_TERMS).collect()]
     weights = learn_terms(counts, n_toxic, n_clean)
+
+    def held_terms(ys, texts):
+        for text in texts:
+            yield (sorted({w for w in (t if t.isalpha() else t.translate(_FOLD) for t in tokens(text)) if w in weights}),)
+
+    # Lists of known terms, at most a list for each row of the sample.
+    explained = map_texts(sample.where("y > 0"), "terms array<string>", held_terms, id_col="y").distinct()
+    weights = needed_terms(weights, {frozenset(r[0]) for r in explained.collect()})
     if not weights or not n_toxic or not n_clean:
         ys = dict(sample.groupBy((F.col("y") > 0).alias("t")).count().collect())
         base = (ys.get(True, 0) + 0.5) / (sum(ys.values()) + 1)
