@@ -34,7 +34,7 @@ CAPACITY = 4096
 END_ID = 1
 GROUP = 8192
 #: Entries of a worker's memory of encoded pre-tokens; beyond it the memory starts anew.
-CACHE = 1_000_000
+CACHE = 500_000
 TOKENIZER = "word_bpe_49k.json"
 #: The tokenizer's own pre-token pattern (fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
