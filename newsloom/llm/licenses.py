@@ -5,7 +5,7 @@ lower-cased) joined by single blanks. Phrases are found word by word. Short noti
 found with up to ``edits(notice)`` errors: a notice is split into one part more than that, so
 any occurrence holds one part unchanged (pigeonhole); an Aho-Corasick automaton over all parts
 locates candidates, and the regex library's bounded-error matching verifies each window and
-gives the span and the number of edits. The words that name the licence must stand unchanged in it.
+gives the span and the number of edits; what stands before and behind a match is searched again. The words that name the licence must stand unchanged in it.
 
 Edge cases: a null text is an empty one: no words, no label, score 0. Windows that overlap are
 merged before matching, so a long text full of seeds is read once. Repeated rows are returned
@@ -95,14 +95,40 @@ class NoticeSearch:
                     mine.append([a, b])
         found = []
         for n, spans in windows.items():
-            for a, b in spans:
-                while m := self.patterns[n].search(text, a, b):
-                    label, key = self.notices[n][1]
-                    if key in m.group():
-                        found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    a = max(m.end(), a + 1)
+            label = self.notices[n][1][0]
+            found += [(label, *m) for a, b in spans for m in self.matches(text, n, a, b)]
         return sorted(found)
 
+    def matches(self, text: str, n: int, a: int, b: int) -> list[tuple[int, int, int]]:
+        """(start, stop, edits) of matches of a notice that share no character, those of fewer edits first."""
+        notice, (_, key) = self.notices[n]
+        least = len(notice) - edits(notice)
+        first, last, spans, seen, kept = a, b, [(a, b)], set(), []
+        while spans:
+            some = []
+            while spans:
+                a, b = span = spans.pop()
+                if b - a < least or span in seen:
+                    continue
+                seen.add(span)
+                # The best match of the whole span, wherever it stands.
+                if not (m := self.patterns[n].search(text, a, b)):
+                    continue
+                if key in m.group():
+                    some.append((sum(m.fuzzy_counts), m.start(), m.end()))
+                    spans += [(a, m.start()), (m.end(), b)]
+                else:
+                    # Another match may share characters with it.
+                    spans += [(a, m.end() - 1), (m.start() + 1, b)]
+            left = []
+            for k, start, stop in sorted(set(some)):
+                free = all(stop <= x or y <= start for x, y, _ in kept)
+                (kept if free else left).append((start, stop, k))
+            # Gaps that a match left out reaches into are looked at again.
+            ends = [first, *(e for x, y, _ in sorted(kept) for e in (x, y)), last]
+            spans = [(x, y) for x, y in zip(ends[::2], ends[1::2]) if any(p < y and x < q for p, q, _ in left)]
+        return kept
+
 
 def phrase_places(words: list[bytes], joined: bytes, phrases: dict[str, str]) -> dict[str, list[int]]:
     """Word numbers at which each phrase's words stand."""
