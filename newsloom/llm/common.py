@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from newsloom.plans.staging import shared_dir, stage, unstage
 
 __all__ = [
     "SPACE_LOWER", "WORD_LOWER", "components", "crc_mod", "filter_texts", "map_texts", "per_worker", "read_table", "shared_dir", "space_words",
-    "stage", "unstage", "word_runs",
+    "stage", "text_chunks", "unstage", "word_runs",
 ]
 
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -80,6 +81,19 @@ def map_texts(
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def text_chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int = 4 << 20) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of batches (id, text), in parts of about ``chunk_bytes``; one text always stays whole."""
+    for batch in batches:
+        sizes = batch.column(1).fill_null("").cast(pa.binary())
+        ends = np.frombuffer(sizes.buffers()[1], np.int32)[sizes.offset: sizes.offset + batch.num_rows + 1] if batch.num_rows else np.zeros(1, np.int32)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + chunk_bytes, side="right")) - 1)
+            part = batch.slice(at, to - at)
+            yield part.column(0), part.column(1)
+            at = to
+
+
 def filter_texts(docs: DataFrame, keep: Callable[[list], list], *, text_col: str = "text", chunk_rows: int = 512) -> DataFrame:
     """Rows of ``docs``, all columns, for whose texts (UTF-8, null as empty) ``keep`` is true; no shuffle."""
     place = docs.columns.index(text_col)

@@ -1,9 +1,5 @@
 """Best-fit packing of tokenised documents into sequences.
 
-Tokens are looked up per pre-token; only pre-tokens that the worker hasn't seen go to the
-tokenizer. Texts in which Python and the tokenizer may disagree about letter case or blanks
-are encoded whole, so that ids are the tokenizer's own in every case.
-
 Pieces are dealt into groups of about ``GROUP`` by a hash, and each group is packed by
 itself: pieces go longest first, and among the open sequences that have room under every
 constraint (tokens, documents, attention cost) the one is taken that a weighted score puts
@@ -19,106 +15,45 @@ a constraint by itself gets a sequence of its own.
 
 from __future__ import annotations
 
-import re
-import unicodedata
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import map_texts, per_worker, stage
+from newsloom.llm.common import per_worker, stage, text_chunks
+from newsloom.llm.word_ids import WordIds, spans, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
 GROUP = 8192
-#: Entries of a worker's memory of encoded pre-tokens; beyond it the memory starts anew.
-CACHE = 500_000
-TOKENIZER = "word_bpe_49k.json"
-#: The tokenizer's own pre-token pattern (fixed value).
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Beyond Latin and general punctuation, lower case or white space may be something else to Python
-#: than to the tokenizer.
-OTHER = "[^\\x09-\\x0d\\x20-\\x7e\\xa0-\\u012f\\u0131-\\u024f\\u2010-\\u2027\\u2030-\\u205e]"
-#: Start of the tokenizer's special strings, which it finds before it lower-cases.
-SPECIAL = "<|"
-
-
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-class WordIds:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
-
-    Ids of a text are those of its pre-tokens in turn. Pre-tokens that the worker hasn't seen go
-    to the tokenizer in one string, with blanks between; the last id of each carries the end mark.
-    """
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker per core
-        import regex
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.split = regex.compile(PRE_TOKEN).findall
-        self.other = re.compile(OTHER).search
-        vocabulary = self.model.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        ids = self._encode(" ".join(words))
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(stops) == len(words):
-            data, at = ids.tobytes(), 0
-            for word, stop in zip(words, stops.tolist()):
-                self.cache[word] = data[at:stop]
-                at = stop
-        else:
-            self.cache.update((word, self._encode(word).tobytes()) for word in words)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [
-            None if SPECIAL in text or self.other(text)
-            else self.split((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
-            for text in texts
-        ]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        new = {w for words in split if words for w in words if w not in cache}
-        if new:
-            self._learn(list(new))
-        return [
-            self._encode(text).tobytes() if words is None else b"".join([cache[w] for w in words])
-            for text, words in zip(texts, split)
-        ]
 
 
 def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32)."""
     path = path or tokenizer_path()
 
-    def rows(ids, texts):
-        ids_of = per_worker(f"word ids {path}", lambda: WordIds(path))
-        end = np.array([end_id], "<u4").tobytes()
-        for i, data in zip(ids, ids_of(texts)):
-            data += end
-            for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                part = data[at: at + 4 * capacity]
-                yield i, k, k * capacity, len(part) // 4, zlib.crc32(part)
-
-    return map_texts(docs, "doc_id long, piece int, start long, length long, ids_crc32 long", rows, chunk_chars=4 << 20)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = per_worker(f"word ids {path}", lambda: WordIds(path))
+        for keys, texts in text_chunks(batches):
+            ids, bounds = coder(texts, end_id)
+            data, sizes = memoryview(ids).cast("B"), np.diff(bounds)
+            counts = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), counts)
+            piece = spans(np.zeros(len(counts), np.int64), counts)
+            start = piece * capacity
+            length = np.minimum(sizes[row] - start, capacity)
+            cuts = zip((4 * (bounds[row] + start)).tolist(), (4 * (bounds[row] + start + length)).tolist())
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array([zlib.crc32(data[a:b]) for a, b in cuts], pa.int64())],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(

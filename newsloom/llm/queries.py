@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm import (
-    ann, decontaminate, langid, licenses, line_dedup, packing, quality, simhash, token_counts, toxicity,
+    ann, decontaminate, langid, licenses, line_dedup, packing, quality, simhash, token_counts, token_files, toxicity,
 )
 from newsloom.llm.common import read_table
 
@@ -100,3 +100,8 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, counts=True)
+
+
+@query("op11_token_files")
+def op11(spark, sf_dir):
+    return token_files.read_tokens(spark, token_files.write_tokens(read_table(spark, sf_dir, "documents")))
