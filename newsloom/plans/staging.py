@@ -36,11 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
+def stage(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, with Parquet's ``options``, and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/newsloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
