@@ -108,12 +108,13 @@ def filter_texts(docs: DataFrame, keep: Callable[[list], list], *, text_col: str
     return docs.mapInArrow(run, docs.schema)
 
 
-def per_worker(key: str, make: Callable):
-    """A value that a Python worker keeps from task to task, such as a loaded tokenizer."""
+def per_worker(key: str, make: Callable, version: str | None = None):
+    """A value that a Python worker keeps from task to task, such as a loaded tokenizer; another version replaces it."""
     store = sys.modules.setdefault("newsloom_worker_state", types.ModuleType("newsloom_worker_state")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if key not in store or store[key][0] != version:
+        store.pop(key, None)
+        store[key] = version, make()
+    return store[key][1]
 
 
 def _fold(edges: DataFrame) -> tuple:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm import (
-    ann, decontaminate, langid, licenses, line_dedup, packing, quality, simhash, token_counts, token_files, toxicity,
+    alignment, ann, decontaminate, langid, licenses, line_dedup, packing, quality, simhash, token_counts, token_files, toxicity, vector_codes,
 )
 from newsloom.llm.common import read_table
 
@@ -105,3 +105,47 @@ def op10(spark, sf_dir):
 @query("op11_token_files")
 def op11(spark, sf_dir):
     return token_files.read_tokens(spark, token_files.write_tokens(read_table(spark, sf_dir, "documents")))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark, sf_dir):
+    return alignment.align_documents(read_table(spark, sf_dir, "documents"))
+
+
+def _op13_round(k: int) -> str:
+    """Codes of round k over the codebooks of round k, and the codebooks of round k + 1."""
+    return f"""
+near_{k} AS MATERIALIZED (
+  SELECT r, p, arg_min(c, (list_dot_product(y, y) - 2 * list_dot_product(x, y)) * 256 + c) AS c
+  FROM cut JOIN book_{k} USING (p) GROUP BY r, p),
+sums_{k} AS (
+  SELECT p, c, pos, floor(sum(v) / count(*)) AS m
+  FROM (SELECT r, p, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM cut) JOIN near_{k} USING (r, p) GROUP BY p, c, pos),
+book_{k + 1} AS MATERIALIZED (
+  SELECT p, c, coalesce(z, y) AS y FROM book_{k}
+  LEFT JOIN (SELECT p, c, list(m ORDER BY pos) AS z FROM sums_{k} GROUP BY p, c) USING (p, c))"""
+
+
+OP13_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+cut AS MATERIALIZED (
+  SELECT r, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM kept, (SELECT unnest(range(4)) AS p)),
+book_0 AS MATERIALIZED (SELECT p, r - 1 AS c, x AS y FROM cut WHERE r <= 256),{",".join(_op13_round(k) for k in range(5))},
+last AS (
+  SELECT r, p, n.c, list_dot_product(x, x) + list_dot_product(y, y) - 2 * list_dot_product(x, y) AS d
+  FROM near_4 n JOIN cut USING (r, p) JOIN book_4 b USING (p, c)),
+coded AS (SELECT r, string_agg(format('{{:02x}}', c), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM last GROUP BY r),
+shown AS (
+  SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, c, pos)) AS codebooks_sha256
+  FROM (SELECT p, c, unnest(y) AS x, generate_subscripts(y, 1) AS pos FROM book_4))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r), shown
+"""
+
+
+@query("op13_vector_codes", OP13_SQL)
+def op13(spark, sf_dir):
+    return vector_codes.compress_vectors(read_table(spark, sf_dir, "embeddings"))
