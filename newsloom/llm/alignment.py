@@ -22,6 +22,7 @@ own; an empty table gives no row; columns other than the id and text aren't read
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import os
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import per_worker, stage, text_chunks
-from newsloom.llm.word_ids import spans, tokenizer_path
+from newsloom.llm.word_ids import OTHER, spans, tokenizer_path
 from newsloom.plans.staging import measured_bytes
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -45,6 +46,8 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PAIR_BYTES = 64 << 20
 #: Parts and their characters that a worker remembers; beyond either its memory starts anew.
 MOST_PARTS, MOST_CHARS = 150_000, 8 << 20
+#: Parts that go to a tokenizer in one text, and tokens from which a text is aligned by itself.
+JOINED, LONG = 64, 256
 #: Counted pairs that a task holds before it hands them on.
 MOST_PAIRS = 1 << 21
 #: A blank whose character before is white space too: no place to cut.
@@ -73,16 +76,48 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def links(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Pairs of places whose byte ranges overlap, given the ends of both."""
-    i = j = 0
-    out = []
-    while i < len(a) and j < len(b):
-        out.append((i, j))
-        x, y = a[i], b[j]
-        i += x <= y
-        j += y <= x
-    return out
+def align_many(a: np.ndarray, b: np.ndarray, a_bounds: np.ndarray, b_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Last tokens of A and of B of all groups, in order, of many texts side by side.
+
+    ``a`` and ``b`` are the token ends of all texts on one axis, the bounds tell the texts' tokens. Halving
+    goes on in all texts at once, a level at a time; a long text is worked off by itself.
+    """
+    a0, a1, b0, b1 = a_bounds[:-1], a_bounds[1:], b_bounds[:-1], b_bounds[1:]
+    a_last, b_last = [], []
+    long = a1 - a0 > LONG
+    for p, q, r, t in zip(a0[long].tolist(), a1[long].tolist(), b0[long].tolist(), b1[long].tolist()):
+        found = align(a[p:q].tolist(), b[r:t].tolist())
+        a_last.append(p - 1 + np.array([x[1] for x in found]))
+        b_last.append(r - 1 + np.array([x[3] for x in found]))
+    a0, a1, b0, b1 = (x[~long & (a1 > a0)] for x in (a0, a1, b0, b1))
+    while len(a0):
+        middle, cut_a, cut_b = (a0 + a1 - 1) // 2, np.full(len(a0), -1), np.full(len(a0), -1)
+        left, step = np.flatnonzero((a1 - a0 > 1) & (b1 - b0 > 1)), 0
+        while len(left):
+            # The middle, then places ever farther from it, on both sides in turn.
+            i = middle[left] + (step + 1) // 2 * (1 if step % 2 else -1)
+            inside = (i >= a0[left]) & (i < a1[left] - 1)
+            end = a[np.where(inside, i, a0[left])]
+            j = np.searchsorted(b, end)
+            hit = inside & (j < b1[left] - 1) & (b[j] == end)
+            cut_a[left[hit]], cut_b[left[hit]] = i[hit], j[hit]
+            step += 1
+            left = left[~hit & (step < a1[left] - a0[left])]
+        none = cut_a < 0
+        a_last.append(a1[none] - 1)
+        b_last.append(b1[none] - 1)
+        a0, a1, b0, b1, i, j = (x[~none] for x in (a0, a1, b0, b1, cut_a + 1, cut_b + 1))
+        a0, a1, b0, b1 = (np.concatenate(x) for x in ((a0, i), (i, a1), (b0, j), (j, b1)))
+    empty = [np.zeros(0, np.int64)]
+    return np.sort(np.concatenate(a_last or empty)), np.sort(np.concatenate(b_last or empty))
+
+
+def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of A and of B whose byte ranges overlap, and where their overlaps end: both cut the bytes, so each stretch between two ends is one pair's."""
+    ends = np.concatenate([a, b])
+    ends.sort(kind="stable")  # merges two sorted runs
+    ends = ends[np.diff(ends, prepend=-1) > 0]
+    return np.searchsorted(a, ends), np.searchsorted(b, ends), ends
 
 
 def byte_level() -> dict[str, int]:
@@ -108,72 +143,156 @@ class Aligner:
         self.a_bytes = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
             self.a_bytes[i] = bytes(code[c] for c in name) if all(c in code for c in name) else name.encode()
+        self.ranks, self.other = self._ranks(a_path), re.compile(OTHER).search
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         if any(_BLANK in p.lstrip(_BLANK) for p in pieces):
             raise ValueError("a piece with an inner blank: texts can't be cut at blanks")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.blank = pieces.index(_BLANK)
+        shown = [str(i).encode() for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.digits, self.digits_size = np.frombuffer(b"".join(shown), np.uint8), np.array([len(x) for x in shown])
+        self.digits_start = np.cumsum(self.digits_size) - self.digits_size
+        self.a_size, self.b_size = [np.array([len(x) for x in y]) for y in (self.a_bytes, self.b_bytes)]
         self.pairs, self.most = pairs, most_parts
-        self._forget()
+        self.place: dict[str, int] = {}
+        self.chars = 0
+        #: Per part: tokens of A, of B, groups, links, best links, sum of counts, 1 if its bytes differ.
+        self.figures = np.zeros((0, 7), np.int64)
+        self.met = self.codes = self.sizes = self.starts = np.zeros(0, np.int64)
+        self.groups: list[bytes] = []
+
+    def _ranks(self, a_path: str):
+        """A's vocabulary as a rank file beside it, which another library reads much faster; None if there is none or it differs."""
+        path = a_path.removesuffix(".json") + ".tiktoken"
+        if not os.path.exists(path):
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(x): int(i) for x, i in map(bytes.split, lines)}
+        if any(self.a_bytes[i] != x for x, i in ranks.items()):
+            return None
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _a_ids(self, texts: list[str]) -> list[list[int]]:
+        # Both know the same letters and blanks in these texts, so they cut them alike.
+        fast = [self.ranks is not None and not self.other(t) for t in texts]
+        rest = iter(self.a.encode_batch_fast([t for t, f in zip(texts, fast) if not f], add_special_tokens=False))
+        return [self.ranks.encode_ordinary(t) if f else next(rest).ids for t, f in zip(texts, fast)]
 
     @property
     def n_b(self) -> int:
         return len(self.b_bytes)
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.chars = 0
-        #: Per part: tokens of A, of B, groups, links, best links, sum of counts, 1 if its bytes differ.
-        self.figures = np.zeros((0, 7), np.int64)
-        self.groups: list[bytes] = []
-        self.codes = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
+        """Keep the parts met in most chunks, half of the memory at most, and none met once only."""
+        parts = list(self.place)
+        best = np.argsort(-self.met, kind="stable")[: np.count_nonzero(self.met > 1)][: self.most // 2]
+        best = best[np.cumsum([len(parts[i]) for i in best]) <= MOST_CHARS // 2]
+        self.place = {parts[i]: k for k, i in enumerate(best)}
+        self.chars = sum(map(len, self.place))
+        self.figures, self.met = self.figures[best], np.ones(len(best), np.int64)
+        if self.pairs is None:
+            self.codes, self.sizes = self.codes[spans(self.starts[best], self.sizes[best])], self.sizes[best]
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        else:
+            self.groups = [self.groups[i] for i in best]
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of A and of B of all parts, the n + 1 bounds of both, and which parts' bytes differ; None if parts can't be told apart."""
+        texts = [" ".join(parts[at: at + JOINED]) for at in range(0, len(parts), JOINED)]
+        a = np.concatenate([np.array(x, np.int64) for x in self._a_ids([" " + t for t in texts])])
+        b = np.concatenate([np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)])
+        whole = " " + " ".join(parts)
+        own = whole.encode()
+        if any(b"".join([size[i] for i in ids.tolist()]) != own for ids, size in ((a, self.a_bytes), (b, self.b_bytes))):
+            return None
+        lengths = [len(p) + 1 for p in parts] if len(own) == len(whole) else [len(p.encode()) + 1 for p in parts]
+        stops, bounds = np.cumsum(lengths), []
+        for ids, size in ((a, self.a_size), (b, self.b_size)):
+            ends = np.cumsum(size[ids])
+            at = np.searchsorted(ends, stops)
+            if (ends[at] != stops).any():
+                return None
+            bounds.append(np.concatenate([[0], at + 1]))
+        return a, b, *bounds, np.zeros(len(parts), bool)
+
+    def _encode_singly(self, parts: list[str]):
+        a = [x.ids for x in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+        # The model adds no blank to nothing.
+        b = [x if p else [self.blank] for p, x in zip(parts, self.b.encode(parts, num_threads=1))]
+        differ = np.zeros(len(parts), bool)
+        for k, part in enumerate(parts):
+            own = b" " + part.encode()
+            if b"".join([self.a_bytes[i] for i in a[k]]) != own or b"".join([self.b_bytes[i] for i in b[k]]) != own:
+                a[k], b[k], differ[k] = [], [], True
+        return *(np.array([i for x in y for i in x], np.int64) for y in (a, b)), *(np.cumsum([0, *map(len, y)]) for y in (a, b)), differ
 
     def _learn(self, parts: list[str]) -> None:
         """Parts without their first blank."""
-        a_ids = [x.ids for x in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        # The model adds no blank to nothing.
-        b_ids = [x if p else [self.blank] for p, x in zip(parts, self.b.encode(parts, num_threads=1))]
-        figures, codes, sizes = [], [], []
-        a_bytes, b_bytes, n_b = self.a_bytes, self.b_bytes, self.n_b
-        for part, x, y in zip(parts, a_ids, b_ids):
-            own = b" " + part.encode()
-            if b"".join([a_bytes[i] for i in x]) != own or b"".join([b_bytes[i] for i in y]) != own:
-                figures.append((0, 0, 0, 0, 0, 0, 1))
-                self.groups.append(b"")
-                sizes.append(0)
-                continue
-            if len(x) == 1 or len(y) == 1:
-                groups, held = [(0, len(x), 0, len(y))], [i * n_b + j for i in x for j in y]
-            else:
-                ends = []
-                for ids, size in ((x, a_bytes), (y, b_bytes)):
-                    at, own_ends = 0, []
-                    for i in ids:
-                        at += len(size[i])
-                        own_ends.append(at)
-                    ends.append(own_ends)
-                groups = align(*ends)
-                held = [x[i] * n_b + y[j] for i, j in links(*ends)]
-            self.groups.append(";".join([f"{','.join(map(str, x[p:q]))}|{','.join(map(str, y[r:s]))}" for p, q, r, s in groups]).encode())
-            figures.append((len(x), len(y), len(groups), len(held), 0, 0, 0))
-            codes += held
-            sizes.append(len(held))
-        figures, codes, sizes = np.array(figures, np.int64), np.array(codes, np.int64), np.array(sizes, np.int64)
-        if self.pairs is not None and len(self.pairs[0]) and len(codes):
+        joined = sorted((p for p in parts if p and _BLANK not in p and not p[-1].isspace()), key=lambda p: not p.isascii())
+        found = self._encode(joined) if joined else None
+        rest = set(joined) if found else set()
+        single = [p for p in parts if p not in rest]
+        if not found:
+            joined, found = single, self._encode_singly(single)
+        elif single:
+            more = self._encode_singly(single)
+            found = *(np.concatenate([x, y]) for x, y in zip(found[:2], more[:2])), *(np.concatenate([x, x[-1] + y[1:]]) for x, y in zip(found[2:4], more[2:4])), np.concatenate([found[4], more[4]])
+            joined = joined + single
+        self._keep(joined, *found)
+
+    def _shown(self, a: np.ndarray, b: np.ndarray, a_bounds: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[bytes]:
+        """Each part's groups as ``a1,a2|b1;a3|b2,b3``."""
+        # Tokens in the order of the text shown: a group's tokens of A, then those of B. A mark follows each.
+        first_a, first_b = np.concatenate([[0], last_a + 1])[:-1], np.concatenate([[0], last_b + 1])[:-1]
+        size_a, size_b = last_a + 1 - first_a, last_b + 1 - first_b
+        at_b = np.cumsum(size_a + size_b) - size_b
+        ids, marks = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[spans(at_b - size_a, size_a)], ids[spans(at_b, size_b)] = a, b
+        marks[at_b - 1], marks[at_b + size_b - 1] = ord("|"), ord(";")
+        digits = self.digits_size[ids]
+        ends = np.cumsum(digits + 1)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        out[ends - 1] = marks
+        out[spans(ends - 1 - digits, digits)] = self.digits[spans(self.digits_start[ids], digits)]
+        whole = out.tobytes()
+        # A part ends before its last mark; one without tokens shows nothing.
+        groups = np.searchsorted(last_a, a_bounds)
+        stops = np.concatenate([[0], ends[at_b + size_b - 1]])[groups].tolist() if len(ends) else [0] * len(groups)
+        return [whole[p: q - 1] if q > p else b"" for p, q in zip(stops, stops[1:])]
+
+    def _keep(self, parts: list[str], a: np.ndarray, b: np.ndarray, a_bounds: np.ndarray, b_bounds: np.ndarray, differ: np.ndarray) -> None:
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        last_a, last_b = align_many(a_ends, b_ends, a_bounds, b_bounds)
+        i, j, ends = links(a_ends, b_ends)
+        codes = a[i] * self.n_b + b[j]
+        figures = np.zeros((len(parts), 7), np.int64)
+        figures[:, 0], figures[:, 1], figures[:, 6] = np.diff(a_bounds), np.diff(b_bounds), differ
+        group_bounds = np.searchsorted(last_a, a_bounds)
+        figures[:, 2] = np.diff(group_bounds)
+        stops = np.concatenate([[0], a_ends])[a_bounds]
+        link_bounds = np.searchsorted(ends, stops, side="right")
+        sizes = np.diff(link_bounds)
+        figures[:, 3] = sizes
+        if self.pairs is None:
+            self.codes, self.sizes = np.concatenate([self.codes, codes]), np.concatenate([self.sizes, sizes])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        else:
             known, counts, best = self.pairs
-            at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-            hit = known[at] == codes  # other parts of the counts have the rest
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            figures[:, 4] = np.bincount(row, hit & best[at], len(sizes)).astype(np.int64)
-            np.add.at(figures[:, 5], row, np.where(hit, counts[at], 0))
+            if len(known) and len(codes):
+                at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                hit = known[at] == codes  # other parts of the counts have the rest
+                for column, values in ((4, hit & best[at]), (5, np.where(hit, counts[at], 0))):
+                    sums = np.concatenate([[0], np.cumsum(values)])
+                    figures[:, column] = sums[link_bounds[1:]] - sums[link_bounds[:-1]]
+            self.groups += self._shown(a, b, a_bounds, last_a, last_b)
         had = len(self.place)
         self.place.update(zip(parts, range(had, had + len(parts))))
         self.chars += sum(map(len, parts))
+        self.met = np.concatenate([self.met, np.zeros(len(parts), np.int64)])
         self.figures = np.concatenate([self.figures, figures])
-        if self.pairs is None:
-            self.codes, self.sizes = np.concatenate([self.codes, codes]), np.concatenate([self.sizes, sizes])
-            self.starts = np.cumsum(self.sizes) - self.sizes
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Parts of all texts as places in memory, the n + 1 bounds of the texts, and whether a text has tokens."""
@@ -199,6 +318,7 @@ class Aligner:
         if new:
             self._learn(new)
         known = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        self.met[known] += 1
         parts = known[coded.indices.to_numpy()]
         bounds = split.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]

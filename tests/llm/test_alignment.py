@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
@@ -74,6 +75,7 @@ class Plain:
 
 PLAIN = Plain()
 ALIGNER = A.Aligner(tokenizer_path(A.A_FILE), tokenizer_path(A.B_FILE), most_parts=30)
+SCORER = A.Aligner(tokenizer_path(A.A_FILE), tokenizer_path(A.B_FILE), pairs=tuple(np.zeros(0, np.int64) for _ in range(3)), most_parts=30)
 ORDER = lambda r: (r[0] is None, r[0] or 0, *r[1:])
 
 
@@ -86,7 +88,7 @@ def test_parts_are_aligned_as_whole_texts(text):
         if good[k]:
             own = parts[bounds[k]: bounds[k + 1]]
             want = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in PLAIN.groups(whole))
-            assert b";".join(ALIGNER.groups[i] for i in own).decode() == want
+            assert b";".join(SCORER.groups[i] for i in SCORER(pa.array([whole]))[0]).decode() == want
             assert ALIGNER.figures[own, 3].sum() == len(PLAIN.links(whole))
 
 
@@ -99,6 +101,26 @@ def test_groups_end_at_every_shared_end(n, rng):
     assert [x for p, q, _, _ in found for x in a[p:q]] == a and [x for *_, r, s in found for x in b[r:s]] == b
 
 
+@pytest.mark.parametrize("long", [3, 256])
+def test_many_texts_side_by_side(monkeypatch, long):
+    monkeypatch.setattr(A, "LONG", long)
+    rng = random.Random(long)
+    a, b, sizes, want = [], [], [[0], [0]], ([], [])
+    for k in range(200):
+        n = rng.randint(1, 30)
+        x, y = ([*sorted(rng.sample(range(1, n), rng.randint(0, n - 1))), n] for _ in range(2))
+        for p, q, r, s in A.align(x, y):
+            want[0].append(len(a) + q - 1)
+            want[1].append(len(b) + s - 1)
+        base = a[-1] if a else 0
+        a += [base + e for e in x]
+        b += [base + e for e in y]
+        sizes[0].append(len(a))
+        sizes[1].append(len(b))
+    got = A.align_many(np.array(a), np.array(b), np.array(sizes[0]), np.array(sizes[1]))
+    assert [g.tolist() for g in got] == list(want)
+
+
 def test_long_interval_without_a_shared_end():
     n = 200_000
     assert A.align([*range(2, 2 * n, 2), 2 * n], [*range(1, 2 * n, 2), 2 * n]) == [(0, n, 0, n + 1)]
