@@ -36,28 +36,6 @@ def _all(parts: list[pd.DataFrame], schema: str) -> pd.DataFrame:
     return pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in schema.split(",")])
 
 
-def block_join(rows: DataFrame, partners: DataFrame, digest: Digest, schema: str, blocks: tuple[int, int], decimals: int = 6) -> DataFrame:
-    """Digest rows of every vector of ``rows`` against every block of ``partners``, both (id, vec)."""
-    own, other = blocks
-    left = rows.select(
-        "id", "vec", F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("j")
-    )
-    right = partners.select(
-        F.col("id").alias("right_id"), F.col("vec").alias("right_vec"),
-        F.explode(F.sequence(F.lit(0), F.lit(own - 1))).alias("right_i"), F.pmod(F.xxhash64("id"), F.lit(other)).cast("int").alias("right_j"),
-    )
-
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(x) and len(y):
-            x, y = x.sort_values("id"), y.sort_values("right_id")
-            a, b = np.stack(x["vec"].to_numpy()), np.stack(y["right_vec"].to_numpy())
-            out.extend(_tiles(digest, x["id"].to_numpy(), a, y["right_id"].to_numpy(), b, False, decimals))
-        return _all(out, schema)
-
-    return left.groupBy("i", "j").cogroup(right.groupBy("right_i", "right_j")).applyInPandas(run, schema)
-
-
 def block_pairs(vecs: DataFrame, digest: Digest, schema: str, blocks: int, decimals: int = 6) -> DataFrame:
     """Digest rows of every vector against every block of the table of (id, vec).
 
@@ -129,16 +107,6 @@ def low_partners(flag_below: float) -> Digest:
     return digest
 
 
-def smaller_partners(threshold: float) -> Digest:
-    """The ids that have a partner of smaller id above ``threshold``."""
-
-    def digest(ids, partners, sims, same):
-        found = ((sims > threshold) & (partners[None, :] < ids[:, None])).any(axis=1)
-        return pd.DataFrame({"id": ids[found]})
-
-    return digest
-
-
 def lowest_partners(k: int, flag_below: float) -> Digest:
     """The k lowest partners of each row that are at most ``flag_below``, ties by partner id."""
 

@@ -1,6 +1,9 @@
 import random
 
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from newsloom.operators import buckets as bk
@@ -114,6 +117,35 @@ def test_balance_and_training(spark):
     assert fitted.weights().count() == 1 + 2 + 2 + 6 + 6 + 3
 
 
+def test_patterns_fit_as_their_rows(spark):
+    """The model of the weighted patterns is that of the library over all single rows."""
+    rows = stage(labelled(spark, n=900, seed=4))
+    fitted = cf.train_keyword_classifier(rows)
+    balanced = cf.balance_classes(rows, ["id", "word"]).withColumn("key", F.concat_ws(":", "id", "word"))
+    training, _ = cat.train_test_split(cf.bucketed(balanced, fitted.cuts), "key")
+    counted = cf.patterns(training)
+    assert counted.agg(F.sum("n")).first()[0] == training.count() > counted.count()
+    single = training.withColumn("flag_vec", array_to_vector("flags"))
+    features = PipelineModel(fitted.model.stages[:3]).transform(single)
+    plain = LogisticRegression(regParam=0.6, elasticNetParam=0.0, tol=1e-8, maxIter=200, standardization=True).fit(
+        features.select("features", F.col("label").cast("double").alias("label"))
+    )
+    got = {r["position"]: r["weight"] for r in fitted.weights().collect()}
+    assert got[-1] == pytest.approx(plain.intercept, abs=1e-4)
+    assert [got[i] for i in range(len(got) - 1)] == pytest.approx(list(plain.coefficients), abs=1e-4)
+
+
+def test_one_label_is_an_error(spark):
+    with pytest.raises(ValueError):
+        cf.balance_classes(labelled(spark).where("label = 1"), ["id", "word"])
+
+
+def test_categories_stay_sparse(spark):
+    cates = spark.range(20_000).select("id", F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("cate"))
+    hot = cf.category_one_hot(cates).select("id", cf.hot_place(F.col("cate_vec")).alias("hot"), cf.vector_width(F.col("cate_vec")).alias("width"))
+    assert hot.where("hot <> id or width <> 20000").count() == 0 and hot.count() == 20_000
+
+
 def test_binary_metrics_guard(spark):
     scored = spark.createDataFrame([(0, 0.1), (1, 0.2)], "label int, score double")
     row = cf.binary_metrics(scored).first()
