@@ -44,6 +44,11 @@ def stage(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files of a staged table that no later plan reads."""
     spark = df.sparkSession

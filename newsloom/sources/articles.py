@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.clean import html_paragraphs, strip_html
 from newsloom.functions.terms import text_lines, tokens
+from newsloom.plans.staging import broadcast_if_small, stage
 
 
 def read_articles(
@@ -58,10 +59,20 @@ def read_keyword_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def one_row_per_id(articles: DataFrame) -> DataFrame:
-    """Smallest (title, content) of each id, combined map-side before the shuffle."""
+    """Smallest (title, content) of each id.
+
+    The repeated ids are found first, from the ids alone, so that only their texts are shuffled, with a
+    map-side minimum; an article whose id stands once stays where it is read. Should the repeated ids
+    themselves be too many to be broadcast, Spark joins them by a shuffle.
+    """
+    repeated = stage(articles.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("again")))
+    if repeated.isEmpty():
+        return articles
+    known, same = broadcast_if_small(repeated), F.col("id").eqNullSafe(F.col("again"))
     rest = [c for c in articles.columns if c not in ("id", "title", "content")]
     first = F.min(F.struct("title", "content", *rest)).alias("first")
-    return articles.groupBy("id").agg(first).select("id", "first.*").select(*articles.columns)
+    chosen = articles.join(known, same, "left_semi").groupBy("id").agg(first).select("id", "first.*")
+    return articles.join(known, same, "left_anti").unionByName(chosen.select(*articles.columns))
 
 
 def segment_articles(
@@ -73,7 +84,7 @@ def segment_articles(
     """Title and body as token arrays, one row per article.
 
     Adds ``title_words`` and ``sentences`` (one array per non-blank body line) and
-    drops the text columns. ``dedup=False`` skips the shuffle of whole texts when ids
+    drops the text columns. ``dedup=False`` skips the search for repeated ids when they
     are known to be unique.
     """
     rows = one_row_per_id(articles) if dedup else articles

@@ -11,9 +11,10 @@ from check import compare, connect
 SF = "/root/testdata/sf0.001"
 SOME = [
     "tfidf_top_terms", "semantic_keywords", "textrank_blend", "word_neighbours", "cooccurrence_expansion",
-    "leader_cluster_best", "recluster_until_stable", "textrank_weight_sweep", "edge_weights", "classifier_weights", "nearest_centroid", "keyword_features", "body_text_json_or_markup",
+    "leader_cluster_best", "recluster_until_stable", "partition_merge", "threshold_ladder_resumed",
+    "write_catalog_partitions", "segment_articles", "textrank_weight_sweep", "edge_weights", "classifier_weights", "nearest_centroid", "keyword_features", "body_text_json_or_markup",
 ]
-NO_SQL = {"partition_merge"}
+NO_SQL = set()
 
 
 def test_every_query_has_sql_or_is_known_not_to():

@@ -1,7 +1,9 @@
 import base64
 
+import pytest
 from pyspark.sql import functions as F
 
+from newsloom.plans.staging import stage
 from newsloom.sources import articles as src
 from newsloom.sources import tables
 
@@ -32,6 +34,36 @@ def test_segment_articles_keeps_one_row_per_id(spark):
     assert rows == {1: (["a", "t"], [["q"]]), 2: ([], [["w"]])}
 
 
+def test_only_texts_of_repeated_ids_are_shuffled(spark, capsys):
+    # A third of the rows under one id, and one row without.
+    rows = [(i if i % 3 else 0, f"t{i}", f"c{i}") for i in range(1, 61)] + [(None, "x", "y"), (None, "w", "z")]
+    df = stage(spark.createDataFrame(rows, "id long, title string, content string"))
+    got = src.one_row_per_id(df)
+    want = {}
+    for i, *text in rows:
+        want[i] = min(want.get(i, text), text)
+    assert {r["id"]: [r["title"], r["content"]] for r in got.collect()} == want and got.count() == len(want)
+    got.explain("formatted")
+    plan = capsys.readouterr().out
+    unique = plan.split("Union")[1].split("HashAggregate")[0].split("SortAggregate")[0]
+    assert "BroadcastHashJoin LeftAnti" in unique and "Exchange hashpartitioning" not in unique
+    unique_ids = stage(df.where("id > 0"))
+    assert src.one_row_per_id(unique_ids) is unique_ids
+
+
+def test_catalog_table_replaces_partitions(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE catalog_test LOCATION '{tmp_path}/db'")
+    put = lambda rows, kind: tables.write_catalog_table(spark.createDataFrame(rows, kind), "catalog_test.t")
+    put([("a", 1, "x"), ("b", 2, "y")], "run_id string, n int, word string")
+    put([("z", 3, "a")], "word string, n int, run_id string")
+    read = lambda: sorted(tuple(r) for r in spark.table("catalog_test.t").select("run_id", "word", "n").collect())
+    assert read() == [("a", "z", 3), ("b", "y", 2)]
+    for rows, kind in [([("a", 1)], "run_id string, n int"), ([("a", 1, 2)], "run_id string, n int, word int")]:
+        with pytest.raises(ValueError):
+            put(rows, kind)
+    assert len(read()) == 2
+
+
 def test_terms_with_lexicon_and_encoding(spark):
     df = spark.createDataFrame([(1, "a b", "c d\ne")], "id long, title string, content string")
     seg = src.segment_articles(df)
