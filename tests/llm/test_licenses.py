@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from rows import EDGES, documents
 
@@ -54,7 +55,96 @@ def test_every_match_within_the_bound_is_found():
             for _ in range(licenses.edits(notice)):
                 at = rng.randrange(len(text))
                 rng.choice([lambda: text.pop(at), lambda: text.insert(at, "q"), lambda: text.__setitem__(at, "q")])()
-            if key not in "".join(text):
+            if f" {key} " not in f" {''.join(text)} ":
                 continue
             padded = "some words before " + "".join(text) + " some words behind"
             assert label in {m[0] for m in search(padded)}, (notice, "".join(text))
+
+
+def distances(notice, text):
+    """By plain dynamic programming, least edits of the notice to a piece of the text that ends at each place."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(notice, 1):
+        diagonal, row[0] = row[0], i
+        for j, d in enumerate(text, 1):
+            diagonal, row[j] = row[j], min(diagonal + (c != d), row[j] + 1, row[j - 1] + 1)
+    return row
+
+
+def whole(notice, piece):
+    """Edit distance of two texts."""
+    row = list(range(len(piece) + 1))
+    for i, c in enumerate(notice, 1):
+        diagonal, row[0] = row[0], i
+        for j, d in enumerate(piece, 1):
+            diagonal, row[j] = row[j], min(diagonal + (c != d), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def least_edits(notice, key, text):
+    """Of every place that can match: the name's place (the match's end without a name), and least edits."""
+    k = licenses.edits(notice)
+    if not key:
+        return {j: d for j, d in enumerate(distances(notice, text)) if d <= k}
+    cut = f" {notice} ".index(f" {key} ")
+    left, right, out = notice[:cut], notice[cut + len(key):], {}
+    for m in re.finditer(f"(?=(?<![^ ]){re.escape(key)}(?![^ ]))", text):
+        a, b = m.start(), m.start() + len(key)
+        d = distances(left, text[:a])[-1] + distances(right[::-1], text[b:][::-1])[-1]
+        if d <= k:
+            out[a] = d
+    return out
+
+
+def test_spans_and_edits_equal_a_plain_scan():
+    rng = random.Random(12)
+    search = licenses.NoticeSearch(licenses.NOTICES)
+    notices = list(licenses.NOTICES.items())
+    for round_ in range(40):
+        parts = []
+        for notice, _ in rng.choices(notices, k=4):
+            text = list(notice)
+            for _ in range(rng.randint(0, licenses.edits(notice) + 1)):
+                at = rng.randrange(len(text))
+                rng.choice([lambda: text.pop(at), lambda: text.insert(at, rng.choice("aeq ")), lambda: text.__setitem__(at, "q")])()
+            parts += [" ".join("".join(text).split()), rng.choice(["", "and", "all of these words between them"])]
+        text = " ".join(" ".join(parts).split())
+        for notice, (label, key) in notices:
+            own = licenses.NoticeSearch({notice: (label, key)})(text)
+            places = least_edits(notice, key, text)
+            # Every match is one, of as few edits as its place allows, and none meets another.
+            for _, start, stop, spent in own:
+                assert whole(notice, text[start:stop]) == spent <= licenses.edits(notice)
+                at = [p for p in places if start <= p and p + len(key) <= stop]
+                assert at and min(places[p] for p in at) <= spent
+            assert all(x[2] <= y[1] for x, y in zip(own, own[1:]))
+            # A place without a match of its own is met by one of no more edits.
+            for p, d in places.items():
+                reach = len(notice) + licenses.edits(notice)
+                assert any(s <= p + reach and p - reach <= t and e <= d for _, s, t, e in own), (notice, text, p, d)
+            assert not own or label in {m[0] for m in search(text)}
+
+
+def test_name_stands_as_whole_words():
+    search = licenses.NoticeSearch(licenses.NOTICES)
+    labels = lambda text: {m[0] for m in search(text)}
+    assert labels("released under the permit license") == set() == labels("creative commons attribution commercial")
+    assert labels("creative commons attribution non commercial") == labels("creative comons atribution noncommercial") == {"cc-by-nc"}
+    assert labels("creative commons attribution share alike") == {"cc-by-sa"}
+    assert labels("terms of the gnu affero general public license") == set()
+    assert labels("released under the mit licence") == {"mit"}
+
+
+def test_time_follows_the_length_of_a_repeated_notice():
+    search = licenses.NoticeSearch(licenses.NOTICES)
+    for notice, label in [
+        ("licensed under the gnu lesser general public license ", "lgpl"), ("terms of the gnu affero general public license ", None),
+        ("permission is hereby granted free of charge to any persn obtaining a copy ", "mit"),
+        ("licensed under the apache licence version 2 0 ", "apache-2"),
+    ]:
+        times = 100_000 // len(notice)
+        start = time.perf_counter()
+        found = search((notice * times).strip())
+        took = time.perf_counter() - start
+        assert took < 2, (notice, took)
+        assert sum(m[0] == label for m in found) == (times if label else 0)
