@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -37,7 +38,8 @@ LEAST_RATIO, LEAST_ODDS = 25.0, 3.0
 COVER = 3
 CUT = 0.7
 WINDOW = 12
-QUOTES = "\"“”„«»‘’'"
+#: Quotation marks (fixed values).
+DOUBLE, SINGLE = "\"“”„«»", "‘’'"
 #: Words near a hit that speak of reporting, and of addressing someone (fixed values).
 REPORTING = frozenset(
     "said says wrote quoted quote called word term phrase slur insult sagte sagt schrieb wort zitat dit écrit mot "
@@ -45,6 +47,7 @@ REPORTING = frozenset(
 )
 ADDRESS = frozenset("you your youre u du dich dir ihr euch sie tu toi te vous usted tú vosotros ustedes".split())
 _FOLD = str.maketrans("@$0134578", "asoieastb")
+_MARK = re.compile(f"[{DOUBLE}{SINGLE}]")
 TOKEN = re.compile(r"[^\W\d_](?:[\w@$*]*[^\W_])?")
 
 
@@ -162,42 +165,70 @@ class Lexicon:
         return hit
 
 
-def quotation(text: str, start: int, stop: int, near: list[str]) -> float:
-    """0 for a hit that speaks for itself, up to 1 for a quoted one."""
-    before, after = text[max(0, start - 40): start], text[stop: stop + 40]
-    marks = any(c in QUOTES for c in before) and any(c in QUOTES for c in after)
-    score = 0.5 * marks + 0.4 * any(w in REPORTING for w in near)
-    return max(0.0, min(1.0, score + 0.1 * (marks and score > 0.5) - 0.3 * any(w in ADDRESS for w in near)))
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans between paired quotation marks, line by line, in order.
+
+    A mark before a character opens, one behind a character closes the last open one of its kind
+    (single or double); an apostrophe between letters or digits is no mark, nor is one that closes nothing.
+    """
+    spans, opened, at = [], {}, 0
+    for m in _MARK.finditer(text):
+        if text.find("\n", at, m.start()) >= 0:
+            opened.clear()
+        at = m.start()
+        kind = m.group() in SINGLE
+        before, after = text[at - 1: at] or " ", text[at + 1: at + 2] or " "
+        if kind and before.isalnum() and after.isalnum():
+            continue
+        if kind in opened and not before.isspace():
+            spans.append((opened.pop(kind), at))
+        elif not after.isspace() and not (kind and before.isalnum()):
+            opened[kind] = at
+    return sorted(spans)
+
+
+#: Features of a text, in order.
+SIGNALS = ("plain", "misspelled", "quoted", "reported", "addressed", "hits", "densest", "density")
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
-    """Sums over the hits of a whole text."""
+    """Sums over the hits of a whole text, by the parts of their context windows (``SIGNALS``).
+
+    How much each part says is left to the regression.
+    """
     words = tokens(text)
     known, hits = lexicon.known, []
     for i, word in enumerate(words):
         hit = known[word] if word in known else lexicon.find(word)
         if hit is not None:
-            hits.append((i, word, hit))
+            hits.append((i, hit))
     if not hits:
-        return [0.0] * 6
-    # Places of the hit words in the text, in order.
-    lower, at, exact, wrong, quoted, places = text.lower(), 0, 0.0, 0.0, 0.0, []
-    for i, word, (term, distance) in hits:
-        start = lower.find(word, at)
-        at = start + len(word)
+        return [0.0] * len(SIGNALS)
+    lower = text.lower()
+    spans, quoted_spans = TOKEN.finditer(lower), quotations(lower)
+    plain = wrong = quoted = reported = addressed = 0.0
+    places, token, span = [], -1, None
+    for i, (term, distance) in hits:
+        while token < i:
+            token, span = token + 1, next(spans)
+        start = span.start()
         near = words[max(0, i - WINDOW): i] + words[i + 1: i + 1 + WINDOW]
-        said = quotation(lower, start, at, near)
-        weight = lexicon.weights[term]
-        quoted += weight * said
-        if distance:
-            wrong += weight * (1 - said) * 0.6**distance
+        weight = lexicon.weights[term] * 0.6**distance
+        at = bisect_right(quoted_spans, (start, len(lower)))
+        if any(stop >= span.end() for _, stop in quoted_spans[max(0, at - 2): at]):
+            quoted += weight
+        elif any(w in REPORTING for w in near):
+            reported += weight
         else:
-            exact += weight * (1 - said)
+            plain += weight
+            wrong += weight if distance else 0.0
+        if any(w in ADDRESS for w in near):
+            addressed += weight
         places.append(i)
     densest = max(sum(1 for p in places[k: k + 50] if p - places[k] <= 2 * WINDOW) for k in range(len(places)))
     return [
-        math.log1p(exact + wrong), math.log1p(wrong), math.log1p(quoted), float(exact + wrong > 0), math.log(densest),
-        math.log1p(1000 * len(hits) / len(words)),
+        math.log1p(plain), math.log1p(wrong), math.log1p(quoted), math.log1p(reported), math.log1p(addressed),
+        1.0, math.log(densest), math.log1p(1000 * len(hits) / len(words)),
     ]
 
 
@@ -294,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, fold: int =
     if not weights or not n_toxic or not n_clean:
         ys = dict(sample.groupBy((F.col("y") > 0).alias("t")).count().collect())
         base = (ys.get(True, 0) + 0.5) / (sum(ys.values()) + 1)
-        return {"terms": {}, "clean": frozenset(), "w": [0.0] * 6 + [math.log(base / (1 - base))]}
+        return {"terms": {}, "clean": frozenset(), "w": [0.0] * len(SIGNALS) + [math.log(base / (1 - base))]}
     bare = Lexicon(weights)
 
     def near_misses(ys, texts):

@@ -47,6 +47,25 @@ def test_context_tells_quotation_from_abuse():
     assert T.features("an idiom of worth", known)[0] == T.features("", known)[0] == 0
 
 
+def test_quotations_are_paired():
+    inside = lambda text: [text[a + 1:b] for a, b in T.quotations(text)]
+    assert inside('he said "one two" and “three” or „vier“ or «cinq» or \'six\'') == ["one two", "three", "vier", "cinq", "six"]
+    assert inside("i don't care, you fool, it isn't fine") == [] == inside("the dogs' and the cats' fool")
+    assert inside("she said ‘it isn’t so’ then") == ["it isn’t so"]
+    assert inside('an open "mark\nand fool" here') == [] == inside('5" pipe')
+
+
+def test_hits_stand_where_their_tokens_stand():
+    lexicon = T.Lexicon({"scumbag": 5.0, "other": 2.0, "fool": 4.0}, frozenset({"scumbaggeries"}))
+    parts = lambda text: dict(zip(T.SIGNALS, T.features(text, lexicon)))
+    # A longer token in quotation marks that holds the term doesn't make the term a quoted one.
+    longer = parts('all the "scumbaggeries" of a scumbag')
+    assert longer["quoted"] == 0 < longer["plain"]
+    apostrophes = parts("I don't care, fool, it isn't fine")
+    assert apostrophes["quoted"] == 0 < apostrophes["plain"]
+    assert parts('the term "scumbag" again')["plain"] == 0
+
+
 def corpus(n=600):
     rng = random.Random(2)
     plain = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "nu", "so") for b in ("ra", "te", "lim", "pon", "dak", "vis")]
