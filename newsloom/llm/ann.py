@@ -93,15 +93,25 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def _best(query_ids, queries, ids, vectors, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers of queries and vectors, and exact distances, of each query's k nearest."""
-    out = []
+    out, eps = [], np.finfo(float).eps
+    # Around the group's middle, as the rough distances lose what the norms are larger by.
+    middle = vectors.mean(0) if len(vectors) else 0.0
+    moved = vectors - middle
+    norms = np.sqrt((moved**2).sum(1))
     for at in range(0, len(queries), 256):
         q, own = queries[at: at + 256], query_ids[at: at + 256]
-        rough = (q**2).sum(1)[:, None] + (vectors**2).sum(1) - 2 * q @ vectors.T
+        near = q - middle
+        size = np.sqrt((near**2).sum(1)) + norms.max(initial=0.0)
+        rough = (near**2).sum(1)[:, None] + norms**2 - 2 * near @ moved.T
         rough[own[:, None] == ids[None, :]] = np.inf
         if rough.shape[1] > k:
             edge = np.partition(rough, k - 1, axis=1)[:, k - 1]
-            # The slack covers rounding, so no true neighbour is cut.
-            i, j = np.nonzero(rough <= (edge + 1e-9 * (1 + np.abs(edge)))[:, None])
+            # The slack covers the rounding of the products, by the norms, and of the moves, by the
+            # coordinates moved, so no true neighbour is cut.
+            dim = vectors.shape[1]
+            moves = eps * np.sqrt(dim) * 4 * (np.abs(q).max(1) + np.abs(vectors).max() + size)
+            slack = 8 * (dim + 8) * eps * size**2 + moves * (4 * np.sqrt(np.abs(edge)) + 4 * moves)
+            i, j = np.nonzero(rough <= (edge + slack)[:, None])
         else:
             i, j = np.nonzero(np.isfinite(rough))
         keep = np.isfinite(rough[i, j])

@@ -66,3 +66,14 @@ def test_hadamard_turns_are_rotations():
     hasher = ann.CrossPolytope(20, 2, 1, 3)
     np.testing.assert_allclose(np.linalg.norm(hasher.turned(x, 1, 0), axis=1), np.linalg.norm(x, axis=1))
     assert (hasher.probe(x, 0, 3)[:, 0] == hasher.codes(x, 0)).all()
+
+
+@pytest.mark.parametrize("size,step", [(1e4, 1e-3), (1e6, 1e-3), (1e8, 1.0), (0.0, 1.0)])
+def test_no_candidate_is_lost_to_rounding(size, step):
+    rng = np.random.default_rng(3)
+    x = size * rng.normal(size=16) + step * rng.normal(size=(600, 16))
+    x[300:] += size
+    ids = np.arange(600)
+    i, j, d = ann._best(ids[::3], x[::3], ids, x, 10)
+    for n, q in enumerate(ids[::3]):
+        assert [(int(ids[b]), e) for b, e in zip(j[i == n], d[i == n])] == brute(ids, x, q)
