@@ -1,6 +1,6 @@
 """Language of texts by a linear-chain conditional random field over their words.
 
-Every word (run of letters) has affix features (first and last one to three characters), inner
+Every word (run of letters; a single letter of a script without blanks) has affix features (first and last one to three characters), inner
 bigrams and trigrams, and lexicon features (log share of each language among the word's uses in
 the sample; zero if unknown). Their weights give a word one emission score per language, the
 same wherever it stands, so it is computed once per distinct word. Learned transitions tie
@@ -12,7 +12,7 @@ segment's transfer matrices carries the forward and backward messages from one s
 next, so posteriors are exactly those of the whole text and a long text costs no long loop.
 
 Fitting reads a bounded sample (``FIT_ROWS`` documents, ``FIT_WORDS`` consecutive words of each at a
-place chosen by hash) and joins runs of different documents, so that switches are seen.
+place chosen by hash, the first 64 letters of each) and joins runs of different documents, so that switches are seen.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; a table without
 learnable rows gives ``und`` everywhere; ties go to the smaller language name; an id of null is
@@ -35,10 +35,11 @@ from newsloom.llm.common import crc_mod, map_texts
 
 FIT_ROWS, FIT_WORDS = 3_000, 60
 BUCKETS = 1 << 15
-SLOTS = 28
 SEGMENT = 64
 UNDETERMINED = "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters of scripts written without blanks (fixed values: Thai, Lao, Burmese, Khmer, kana, Han).
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W\d_{UNSPACED}]+|(?=[^\W\d_])[{UNSPACED}]")
 
 
 def words_of(text: str) -> list[str]:
@@ -46,20 +47,26 @@ def words_of(text: str) -> list[str]:
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed affixes and inner n-grams; at most ``SLOTS``, spread over a long word."""
+    """Hashed affixes and inner n-grams, all of them, each number once."""
     framed = f"^{word}$"
     names = {framed[: k + 1] for k in (1, 2, 3)} | {framed[-k - 1:] for k in (1, 2, 3)}
-    names |= {word[i: i + n] for n in (2, 3) for i in range(len(word) - n + 1)}
-    hashed = sorted({1 + zlib.crc32(x.encode()) % (BUCKETS - 1) for x in names})
-    return hashed if len(hashed) <= SLOTS else [hashed[i * len(hashed) // SLOTS] for i in range(SLOTS)]
+    found = {1 + zlib.crc32(x.encode()) % (BUCKETS - 1) for x in names}
+    found.update(1 + zlib.crc32(word[i: i + n].encode()) % (BUCKETS - 1) for n in (2, 3) for i in range(len(word) - n + 1))
+    return sorted(found)
 
 
-def feature_table(words: list[str]) -> np.ndarray:
-    table = np.zeros((len(words), SLOTS), np.int32)
-    for row, word in zip(table, words):
-        found = word_features(word)
-        row[: len(found)] = found
-    return table
+def feature_lists(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' features one behind the other, and where each word's begin; every word has some."""
+    found = [word_features(word) for word in words]
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter((x for f in found for x in f), np.int32, int(size.sum())), np.cumsum(size) - size
+
+
+def sums(weights: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Summed weights (word x language) of each word's features."""
+    if not len(starts):
+        return np.zeros((0, weights.shape[1]))
+    return np.add.reduceat(weights[flat], starts, axis=0, dtype=np.float64)
 
 
 def _messages(emission: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,10 +86,12 @@ def _messages(emission: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.n
     return fwd, bwd, scale
 
 
-def train(sequences: np.ndarray, truth: np.ndarray, feats: np.ndarray, lexicon: np.ndarray, *, steps: int = 40, rate: float = 0.15, l2: float = 1e-4):
+def train(sequences: np.ndarray, truth: np.ndarray, feats: tuple[np.ndarray, np.ndarray], lexicon: np.ndarray, *, steps: int = 40, rate: float = 0.15, l2: float = 1e-4):
     """Adam on the mean log-likelihood; sequences hold word numbers, truth labels (n x t)."""
     n, t = sequences.shape
     k = lexicon.shape[1]
+    flat, starts = feats
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
     weights = {"w": np.zeros((BUCKETS, k)), "lex": np.ones(1), "trans": np.eye(k)}
     first = {name: np.zeros_like(x) for name, x in weights.items()}
     second = {name: np.zeros_like(x) for name, x in weights.items()}
@@ -90,16 +99,15 @@ def train(sequences: np.ndarray, truth: np.ndarray, feats: np.ndarray, lexicon:
     moves = np.zeros((k, k))
     np.add.at(moves, (truth[:, :-1].ravel(), truth[:, 1:].ravel()), 1)
     for step in range(1, steps + 1):
-        score = weights["w"][feats].sum(1) + weights["lex"] * lexicon
+        score = sums(weights["w"], flat, starts) + weights["lex"] * lexicon
         score -= score.max(1, keepdims=True)
         trans = np.exp(weights["trans"] - weights["trans"].max())
         emission = np.exp(np.maximum(score, -30))[sequences]
         fwd, bwd, scale = _messages(emission, trans)
         gap = (one_hot - fwd * bwd).reshape(-1, k) / (n * t)
         pair = np.einsum("bti,btj->ij", fwd[:, :-1], emission[:, 1:] * bwd[:, 1:] / scale[:, 1:, None]) * trans
-        by_word = np.stack([np.bincount(sequences.ravel(), gap[:, j], len(feats)) for j in range(k)], 1)
-        grad_w = np.stack([np.bincount(feats.ravel(), np.repeat(by_word[:, j], SLOTS), BUCKETS) for j in range(k)], 1)
-        grad_w[0] = 0
+        by_word = np.stack([np.bincount(sequences.ravel(), gap[:, j], len(starts)) for j in range(k)], 1)
+        grad_w = np.stack([np.bincount(flat, by_word[owner, j], BUCKETS) for j in range(k)], 1)
         grads = {"w": grad_w - l2 * weights["w"], "lex": np.array([(by_word * lexicon).sum()]) - l2 * weights["lex"], "trans": (moves - pair) / (n * t) - l2 * weights["trans"]}
         for name, grad in grads.items():
             first[name] = 0.9 * first[name] + 0.1 * grad
@@ -155,8 +163,7 @@ def fit(docs: DataFrame, *, rows: int = FIT_ROWS, fold: int = 4, held_out: int =
     runs = runs[: len(runs) // 3 * 3] or (runs * 3)[:3]
     sequences = np.array([w for _, ws in runs for w in ws]).reshape(-1, 3 * piece)
     truth = np.array([y for y, _ in runs for _ in range(piece)]).reshape(-1, 3 * piece)
-    table = feature_table(list(number))
-    weights = train(sequences, truth, table, lexicon)
+    weights = train(sequences, truth, feature_lists(list(number)), lexicon)
     common = {w: lexicon[i].tolist() for w, i in number.items() if lexicon[i].any()}
     return {"langs": langs, "w": weights["w"].astype(np.float32), "lex": float(weights["lex"][0]), "trans": weights["trans"], "lexicon": common}
 
@@ -173,9 +180,12 @@ class Tagger:
         self.rows = np.empty((0, k))
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at: at + 20_000]
-            score = self.w[feature_table(part)].sum(1, dtype=np.float64)
+        # Parts of a bounded number of words and letters, but for a single long word.
+        letters = np.cumsum([len(w) for w in words]) // 200_000
+        cuts = [0, *(np.flatnonzero(np.diff(letters)) + 1).tolist(), len(words)] if words else [0]
+        for first, last in zip(cuts, cuts[1:]):
+            part = words[first:last]
+            score = sums(self.w, *feature_lists(part))
             for i, word in enumerate(part):
                 if word in self.lexicon:
                     score[i] += self.lexicon[word]

@@ -22,7 +22,7 @@ def test_posteriors_equal_enumeration(monkeypatch):
     texts = [["ab", "cd", "efg", "ab", "x", "yz", "cd"], [], ["ab"], ["x", "yz", "x", "efg"]]
     for words, got in zip(texts, tagger.posteriors(texts)):
         total = np.zeros((len(words), 3))
-        emission = [m["w"][L.feature_table([w])[0]].sum(0) for w in words]
+        emission = [m["w"][L.word_features(w)].sum(0) for w in words]
         for path in itertools.product(range(3), repeat=len(words)):
             z = sum(emission[i][y] for i, y in enumerate(path)) + sum(m["trans"][a, b] for a, b in zip(path, path[1:]))
             for i, y in enumerate(path):
@@ -56,12 +56,28 @@ def test_edge_rows(spark):
     assert L.language(documents(spark, [])).count() == 0
 
 
+def test_all_features_of_a_word_count():
+    assert L.words_of("Ab c1d 漢字かな ไทย x") == ["ab", "c", "d", "漢", "字", "か", "な", *"ไทย", "x"]
+    word = "donaudampfschifffahrtsgesellschaftskapitän"
+    grams = {word[i: i + n] for n in (2, 3) for i in range(len(word) - n + 1)}
+    assert len(L.word_features(word)) > 0.95 * len(grams) > 60
+    w = np.random.default_rng(1).normal(size=(L.BUCKETS, 3))
+    words = [word, "a", "bc" * 500, "der"]
+    got = L.sums(w, *L.feature_lists(words))
+    assert np.allclose(got, [w[L.word_features(x)].sum(0) for x in words])
+    tagger = L.Tagger({"langs": ["a", "b", "c"], "w": w, "lex": 1.0, "trans": np.zeros((3, 3)), "lexicon": {}})
+    many = sorted({*words, "x" * 300_000, *(f"w{c}{d}" for c in "abcdef" for d in "abcdef")})
+    tagger.learn(many)
+    score = L.sums(w, *L.feature_lists(many))
+    assert np.allclose(tagger.emissions(many), np.exp(np.maximum(score - score.max(1, keepdims=True), -30)))
+
+
 def test_code_switched_text_is_labelled_by_word():
     langs = ["de", "en"]
     rng = np.random.default_rng(0)
     de, en = "der die und das ist nicht wir haben".split(), "the and of that is not we have".split()
     words = de + en
-    feats = L.feature_table(words)
+    feats = L.feature_lists(words)
     runs = rng.integers(0, 2, (200, 3))
     seqs = np.array([[8 * y + rng.integers(8) for y in row for _ in range(10)] for row in runs])
     truth = np.repeat(runs, 10, axis=1)
