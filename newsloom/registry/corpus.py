@@ -1,9 +1,9 @@
 """The driver tables seen as the inputs of the operators, in Spark and in SQL.
 
-An article is a document: a first line of at most 200 characters is its title, the
-rest its body; otherwise the whole text is the body. A word vector is an embedding
-given to the most frequent non-stop word of its hash bucket. A doc vector is an
-embedding with the ten most frequent words of the document of the same id.
+An article is a document: its first line, however long, is its title, the rest its body.
+A word vector is an embedding given to the most frequent non-stop word of its hash bucket.
+A doc vector is the embedding whose id is the article's id modulo the number of embeddings,
+with the article's ten most frequent words.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from newsloom.operators.stats import doc_tf, tfidf_stats, top_rows
 from newsloom.plans.staging import broadcast_if_small, dealt, stage
 from newsloom.sources.articles import article_words, segment_articles
 
-HEADLINE = 200
-
 
 def shown(value, decimals: int):
     """Decimals of a value that was rounded before, by plain double arithmetic."""
@@ -42,13 +40,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     line = F.substring_index("text", "\n", 1)
-    headed = F.length(line) <= HEADLINE
     return documents(spark, sf).select(
         F.col("doc_id").alias("id"),
-        F.when(headed, line).otherwise(F.lit("")).alias("title"),
-        F.when(headed, F.substring("text", F.length(line) + 2, F.length("text")))
-        .otherwise(F.col("text"))
-        .alias("content"),
+        line.alias("title"),
+        F.substring("text", F.length(line) + 2, F.length("text")).alias("content"),
         F.concat_ws(",", "lang", "source").alias("category"),
     )
 
@@ -93,13 +88,11 @@ def counted_articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def docvecs(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, words, vec): embeddings with the words of the article of the same id."""
-    words = counted_articles(spark, sf).select("id", "words")
-    vectors = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("id"), as_doubles(F.col("embedding")).alias("vec")
-    )
-    none = F.array().cast("array<struct<word:string,weight:double>>")
-    return vectors.join(words, "id", "left").select("id", F.coalesce("words", none).alias("words"), "vec")
+    """(id, words, vec): every article with its words and an embedding."""
+    embeddings = table(spark, sf, "embeddings")
+    words = counted_articles(spark, sf).select("id", "words", (F.col("id") % embeddings.count()).alias("vec_id"))
+    vectors = embeddings.select("vec_id", as_doubles(F.col("embedding")).alias("vec"))
+    return words.join(vectors, "vec_id").select("id", "words", "vec")
 
 
 def article_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,13 +114,10 @@ def publisher_keywords(spark: SparkSession, sf: str, word_stats: DataFrame, k: i
     return best.select("id", F.col("category").alias("cate"), "word")
 
 
-ARTICLES = f"""
+ARTICLES = """
 articles AS (
-  SELECT doc_id AS id,
-         CASE WHEN length(split_part(text, chr(10), 1)) <= {HEADLINE}
-              THEN split_part(text, chr(10), 1) ELSE '' END AS title,
-         CASE WHEN length(split_part(text, chr(10), 1)) <= {HEADLINE}
-              THEN substr(text, length(split_part(text, chr(10), 1)) + 2) ELSE text END AS content,
+  SELECT doc_id AS id, split_part(text, chr(10), 1) AS title,
+         substr(text, length(split_part(text, chr(10), 1)) + 2) AS content,
          lang || ',' || source AS category
   FROM documents)"""
 
@@ -169,7 +159,8 @@ doc_top AS (
     SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY tf DESC, word) AS rn
     FROM doc_tf WHERE length(word) > 1) WHERE rn <= 10),
 docvecs AS (
-  SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings)"""
+  SELECT id, embedding::DOUBLE[] AS vec
+  FROM articles JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings))"""
 
 PUBLISHER = DOC_TF + """,
 publisher AS MATERIALIZED (

@@ -157,8 +157,8 @@ def low_similarity(spark, sf):
     "shared_words_rank",
     f"""WITH {c.TOKENS}, {c.DOC_TF}, {'doc_top' + c.DOCVECS.split('doc_top', 1)[1]},
         wanted AS (SELECT word FROM tokens GROUP BY word ORDER BY count(*) DESC, word LIMIT 40),
-        d AS (SELECT vec_id AS id, list(word) FILTER (word IS NOT NULL) AS ws
-              FROM embeddings LEFT JOIN doc_top ON doc_top.id = vec_id GROUP BY vec_id)
+        d AS (SELECT id, list(word) FILTER (word IS NOT NULL) AS ws
+              FROM articles LEFT JOIN doc_top USING (id) GROUP BY id)
         SELECT id, len(list_intersect(coalesce(ws, []), (SELECT list(word) FROM wanted)))::INT AS shared,
                (40 + len(coalesce(ws, [])) - len(list_intersect(coalesce(ws, []), (SELECT list(word) FROM wanted))))::INT AS joined
         FROM d""",

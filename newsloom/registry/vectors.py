@@ -81,13 +81,13 @@ def vec_sum_by_label(spark, sf):
 @query(
     "merge_word_weights",
     f"""WITH {c.DOCVECS}, w AS (
-          SELECT label, word, count(*)::DOUBLE AS weight
-          FROM embeddings JOIN doc_top ON doc_top.id = vec_id GROUP BY label, word),
+          SELECT lang AS label, word, count(*)::DOUBLE AS weight
+          FROM documents JOIN doc_top ON doc_top.id = doc_id WHERE lang IS NOT NULL GROUP BY lang, word),
         r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY weight DESC, word) AS rank FROM w)
         SELECT label, rank::INT AS rank, word, weight FROM r WHERE rank <= 15""",
 )
 def merge_weights(spark, sf):
-    labels = c.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    labels = c.table(spark, sf, "documents").where("lang IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
     items = c.docvecs(spark, sf).join(labels, "id")
     merged = merge_word_weights(items, "label", 15)
     return merged.select("label", F.posexplode("words").alias("rank", "w")).select(
@@ -98,13 +98,12 @@ def merge_weights(spark, sf):
 @query(
     "merge_word_weights_pairwise",
     f"""WITH {c.DOCVECS}, pooled AS (
-          SELECT vec_id AS id, word FROM embeddings JOIN doc_top ON doc_top.id = vec_id
-          UNION ALL SELECT vec_id, word FROM embeddings JOIN doc_top ON doc_top.id = vec_id + 1
-                    WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)),
+          SELECT id, word FROM doc_top
+          UNION ALL SELECT id - 1, word FROM doc_top WHERE id - 1 IN (SELECT id FROM articles)),
         s AS (SELECT id, word, count(*) AS n FROM pooled GROUP BY id, word),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, word) AS rn FROM s)
         SELECT id, string_agg(word || ':' || n, ',' ORDER BY rn) AS words FROM r WHERE rn <= 12
-          AND id + 1 IN (SELECT vec_id FROM embeddings) GROUP BY id""",
+          AND id + 1 IN (SELECT id FROM articles) GROUP BY id""",
 )
 def merge_weights_pairwise(spark, sf):
     docs = c.docvecs(spark, sf).select("id", "words")
