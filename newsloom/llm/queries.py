@@ -82,7 +82,7 @@ def op3(spark, sf_dir):
 
 @query("op6_token_counts")
 def op6(spark, sf_dir):
-    return token_counts.count_edits(read_table(spark, sf_dir, "documents"), token_counts.redactions())
+    return token_counts.count_edits(read_table(spark, sf_dir, "documents"), token_counts.redactions(), relative=True)
 
 
 @query("op7_quality_classifier")

@@ -8,8 +8,8 @@ pattern reads left to right and looks at most two characters past a match, so a
 ends two characters before the change stays, and once a boundary is met behind the change all
 that follows stays too. Sums are therefore those of encoding the edited text afresh.
 
-Leaves are kept in blocks of about ``BLOCK`` pre-tokens, the tree stands over the blocks, and an edit
-replaces the leaves of the blocks that it touches.
+Leaves and their text are kept in blocks of about ``BLOCK`` pre-tokens, the tree stands over the blocks, and an edit
+replaces the leaves and the text of the blocks that it touches. So an edit costs the same in a text of any length.
 
 Edge cases: a null text is empty and has no tokens; edits of a document are given in positions of
 its original text, sorted and not overlapping (later ones of an overlap are passed over, ones outside
@@ -76,18 +76,24 @@ class Tree:
     """Segment tree over blocks of pre-tokens: characters and tokens below every node."""
 
     def __init__(self, text: str, counter: Counter):
-        self.text, self.counter = text, counter
+        self.counter = counter
         parts = counter.pattern.findall(text)
         self.encoded = 0
-        sizes, tokens = list(map(len, parts)), counter.counts(parts)
-        self.blocks = [(sizes[i: i + BLOCK], tokens[i: i + BLOCK]) for i in range(0, len(parts), BLOCK)] or [([], [])]
+        self.blocks = self._cut(parts, counter.counts(parts)) or [([], [], "")]
         self._plant()
 
+    @staticmethod
+    def _cut(parts: list[str], tokens: list[int]) -> list[tuple[list[int], list[int], str]]:
+        """Blocks (characters and tokens of the leaves, their text)."""
+        return [
+            (list(map(len, parts[i: i + BLOCK])), tokens[i: i + BLOCK], "".join(parts[i: i + BLOCK])) for i in range(0, len(parts), BLOCK)
+        ]
+
     def _plant(self) -> None:
         self.width = 1 << (len(self.blocks) - 1).bit_length()
         chars, tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, (s, t) in enumerate(self.blocks, self.width):
-            chars[i], tokens[i] = sum(s), sum(t)
+        for i, (_, t, text) in enumerate(self.blocks, self.width):
+            chars[i], tokens[i] = len(text), sum(t)
         for i in range(self.width - 1, 0, -1):
             chars[i], tokens[i] = chars[2 * i] + chars[2 * i + 1], tokens[2 * i] + tokens[2 * i + 1]
         self.chars, self.tokens = chars, tokens
@@ -96,6 +102,10 @@ class Tree:
     def total(self) -> int:
         return self.tokens[1]
 
+    @property
+    def text(self) -> str:
+        return "".join(text for _, _, text in self.blocks)
+
     def _block_at(self, place: int) -> tuple[int, int]:
         """Block that holds a character (the last one past the end), and its first character."""
         node, first = 1, 0
@@ -106,10 +116,10 @@ class Tree:
                 node += 1
         return node - self.width, first
 
-    def _set(self, block: int, sizes: list[int], tokens: list[int]) -> None:
-        self.blocks[block] = (sizes, tokens)
+    def _set(self, block: int, sizes: list[int], tokens: list[int], text: str) -> None:
+        self.blocks[block] = (sizes, tokens, text)
         i = block + self.width
-        self.chars[i], self.tokens[i] = sum(sizes), sum(tokens)
+        self.chars[i], self.tokens[i] = len(text), sum(tokens)
         while i > 1:
             i //= 2
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -117,55 +127,69 @@ class Tree:
 
     def edit(self, start: int, stop: int, new: str) -> None:
         """Replace characters start to stop - 1 of the present text."""
-        old_length, shift = len(self.text), len(new) - (stop - start)
-        text = self.text[:start] + new + self.text[stop:]
+        old_length, shift = self.chars[1], len(new) - (stop - start)
         # The first pre-token that ends at start - 1 or later is read again.
         block, first = self._block_at(max(0, start - 2))
-        sizes, tokens = self.blocks[block]
+        sizes, tokens, before = self.blocks[block]
         keep, at = 0, first
         while keep < len(sizes) and at + sizes[keep] < start - 1:
             at += sizes[keep]
             keep += 1
-        # Old boundaries from there on, block by block.
-        last, bounds, base = block, {}, first
-        place, fresh = at, []
-        known_to = first + sum(sizes)
-        for k, b in enumerate(accumulate(sizes, initial=first)):
-            bounds[b] = (block, k)
+        # Old boundaries and text from there on, block by block.
+        last, known_to, bounds = block - 1, first, {}
+
+        def next_block() -> str:
+            nonlocal last, known_to
+            last += 1
+            for k, b in enumerate(accumulate(self.blocks[last][0], initial=known_to)):
+                bounds[b] = (last, k)
+            known_to += len(self.blocks[last][2])
+            return self.blocks[last][2]
+
+        pieces = [next_block()]
+        while known_to < stop and last + 1 < len(self.blocks):
+            pieces.append(next_block())
+        # The window is the edited text from character ``first`` to the end of the blocks read.
+        window = "".join(pieces)
+        window = window[: start - first] + new + window[stop - first:]
+        place, fresh, step = at - first, [], 1
         while True:
-            old = place - shift
-            if place >= start + len(new) and old >= stop:
-                while old > known_to and last + 1 < len(self.blocks):
-                    last += 1
-                    for k, b in enumerate(accumulate(self.blocks[last][0], initial=known_to)):
-                        bounds[b] = (last, k)
-                    known_to += sum(self.blocks[last][0])
-                if old in bounds or old >= old_length:
-                    break
-            found = self.counter.pattern.match(text, place)
+            old = first + place - shift
+            if first + place >= start + len(new) and old >= stop and (old in bounds or old >= old_length):
+                break
+            found = self.counter.pattern.match(window, place)
+            # A match is final when two characters behind it are known, or the text ends.
+            while (found is None or found.end() + 2 > len(window)) and last + 1 < len(self.blocks):
+                window += "".join(next_block() for _ in range(min(step, len(self.blocks) - last - 1)))
+                step *= 2
+                found = self.counter.pattern.match(window, place)
             fresh.append(found.group())
             place = found.end()
         end_block, end_at = bounds.get(old, (len(self.blocks) - 1, len(self.blocks[-1][0])))
-        self.text = text
         self.encoded += len(fresh)
         counted = self.counter.counts(fresh)
-        tail_sizes, tail_tokens = self.blocks[end_block][0][end_at:], self.blocks[end_block][1][end_at:]
-        merged = sizes[:keep] + list(map(len, fresh)) + tail_sizes, tokens[:keep] + counted + tail_tokens
-        if len(merged[0]) > 8 * BLOCK:
+        tail_sizes, tail_tokens, tail = self.blocks[end_block]
+        tail = tail[sum(tail_sizes[:end_at]):]
+        merged_sizes = sizes[:keep] + list(map(len, fresh)) + tail_sizes[end_at:]
+        merged_tokens = tokens[:keep] + counted + tail_tokens[end_at:]
+        merged = before[: at - first] + "".join(fresh) + tail
+        if len(merged_sizes) > 8 * BLOCK:
             # A long insertion: its leaves get blocks of their own.
-            parts = [(merged[0][i: i + BLOCK], merged[1][i: i + BLOCK]) for i in range(0, len(merged[0]), BLOCK)]
-            self.blocks[block: end_block + 1] = parts
+            ends = list(accumulate(merged_sizes, initial=0))
+            parts = [merged[a:b] for a, b in zip(ends, ends[1:])]
+            self.blocks[block: end_block + 1] = self._cut(parts, merged_tokens)
             self._plant()
             return
-        self._set(block, *merged)
+        self._set(block, merged_sizes, merged_tokens, merged)
         for b in range(block + 1, end_block + 1):
-            self._set(b, [], [])
+            self._set(b, [], [], "")
 
 
-def count_edits(docs: DataFrame, edits: Column, *, path: str | None = None) -> DataFrame:
+def count_edits(docs: DataFrame, edits: Column, *, relative: bool = False, path: str | None = None) -> DataFrame:
     """Rows (doc_id, n_tokens, n_edits, n_tokens_after, n_encoded, n_pretokens) of ``docs``.
 
-    ``edits`` is an array<struct<start, stop, replacement>> in characters of the text, in order.
+    ``edits`` is an array<struct<start, stop, replacement>> in characters of the text, in order;
+    ``relative`` ones count from the stop of the edit before.
     ``n_encoded`` counts the pre-tokens encoded for the edits, of ``n_pretokens`` in the document.
     """
     path = path or tokenizer_path()
@@ -178,11 +202,12 @@ def count_edits(docs: DataFrame, edits: Column, *, path: str | None = None) -> D
             made = []
             for i, text, changes in zip(*(c.to_pylist() for c in batch.columns)):
                 tree = Tree(text or "", counter)
-                before, leaves = tree.total, sum(len(s) for s, _ in tree.blocks)
+                before, leaves = tree.total, sum(len(s) for s, _, _ in tree.blocks)
                 shift, done, n = 0, 0, 0
                 for change in changes or []:
-                    a = min(max(0, change["start"] or 0), len(text or ""))
-                    b = min(max(a, change["stop"] or a), len(text or ""))
+                    base = done if relative else 0
+                    a = min(max(0, base + (change["start"] or 0)), len(text or ""))
+                    b = a if change["stop"] is None else min(max(a, base + change["stop"]), len(text or ""))
                     if a < done:
                         continue
                     new = change["replacement"] or ""
@@ -197,19 +222,10 @@ def count_edits(docs: DataFrame, edits: Column, *, path: str | None = None) -> D
 
 
 def redactions(text: str = "text", pattern: str = PRIVATE, replacement: str = "<redacted>") -> Column:
-    """Edits that replace every match of ``pattern``."""
+    """Relative edits that replace every match of ``pattern``."""
     split, found = F.split(F.col(text), pattern, -1), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    # The place of match k is the length of all that stands before it.
-    zipped = F.zip_with(split, found, lambda s, m: F.struct(F.length(s).alias("gap"), F.length(m).alias("size")))
-    zipped = F.filter(zipped, lambda z: z["size"].isNotNull())
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,stop:int,replacement:string>>").alias("done"))
-    return F.aggregate(
-        zipped, start,
-        lambda acc, z: F.struct(
-            (acc["end"] + z["gap"] + z["size"]).alias("end"),
-            F.concat(acc["done"], F.array(F.struct(
-                (acc["end"] + z["gap"]).alias("start"), (acc["end"] + z["gap"] + z["size"]).alias("stop"), F.lit(replacement).alias("replacement")
-            ))).alias("done"),
-        ),
-        lambda acc: acc["done"],
-    )
+    edits = F.zip_with(split, found, lambda gap, match: F.struct(
+        F.length(gap).alias("start"), (F.length(gap) + F.length(match)).alias("stop"), F.lit(replacement).alias("replacement"),
+    ))
+    # What follows the last match is no edit.
+    return F.filter(edits, lambda e: e["stop"].isNotNull())

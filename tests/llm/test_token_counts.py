@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from rows import EDGES, documents
@@ -34,7 +35,8 @@ def test_edits_give_the_counts_of_a_fresh_encoding(counter, seed, monkeypatch):
         tree.edit(a, b, new)
         text = text[:a] + new + text[b:]
         assert tree.text == text and tree.total == fresh(counter, text)
-        assert sum(sum(s) for s, _ in tree.blocks) == len(text) == tree.chars[1]
+        assert sum(sum(s) for s, _, _ in tree.blocks) == len(text) == tree.chars[1]
+        assert all(sum(s) == len(t) for s, _, t in tree.blocks)
 
 
 def test_a_small_edit_encodes_little(counter):
@@ -43,11 +45,19 @@ def test_a_small_edit_encodes_little(counter):
     assert 0 < tree.encoded < 10
 
 
+def test_many_edits_of_a_long_text(spark, counter):
+    text = "write to 12345 now " * 100_000
+    began = time.monotonic()
+    (row,) = C.count_edits(documents(spark, [(1, text)]), C.redactions(), relative=True).collect()
+    assert time.monotonic() - began < 60
+    assert row.n_edits == 100_000 and row.n_tokens_after == fresh(counter, text.replace("12345", "<redacted>"))
+
+
 def test_redactions_of_documents(spark, counter):
     import re
 
     rows = EDGES + [(30, "Write to a.b@mail.example or +49 170 1234567, now."), (31, "no 12 or 345 here"), (32, "1234 5678 x@y.de 99999")]
-    got = C.count_edits(documents(spark, rows), C.redactions()).collect()
+    got = C.count_edits(documents(spark, rows), C.redactions(), relative=True).collect()
     want = []
     for i, text in rows:
         text = text or ""
@@ -55,7 +65,7 @@ def test_redactions_of_documents(spark, counter):
         want.append((i, fresh(counter, text), n, fresh(counter, new)))
     order = lambda r: (r[0] is None, *(x or 0 for x in r))
     assert sorted(((r.doc_id, r.n_tokens, r.n_edits, r.n_tokens_after) for r in got), key=order) == sorted(want, key=order)
-    assert max(r.n_edits for r in got) == 3 and C.count_edits(documents(spark, []), C.redactions()).count() == 0
+    assert max(r.n_edits for r in got) == 3 and C.count_edits(documents(spark, []), C.redactions(), relative=True).count() == 0
 
 
 def test_odd_edits(spark, counter):
