@@ -44,7 +44,7 @@ def pair_similarity(spark, sf):
     return nb.pair_similarity(c.word_vectors(spark, sf, stats), k=10)
 
 
-COOCCUR = c.TOKENS + f""",
+COOCCUR = c.with_bodies(c.TOKENS) + f""",
 kept AS (
   SELECT id, sentence, word, row_number() OVER (PARTITION BY id, sentence ORDER BY pos) AS p
   FROM (SELECT *, {_NATURE_SQL} AS nature FROM tokens)
@@ -60,7 +60,7 @@ wtf AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS tf FROM sides GROUP BY word)
 
 def paragraphs(spark, sf):
     """Body lines with the words whose nature counts as vocabulary."""
-    lines = c.segmented(spark, sf).select("id", F.explode("sentences").alias("words"))
+    lines = c.segmented(spark, sf, c.HEADLINE).select("id", F.explode("sentences").alias("words"))
     kept = F.filter("words", lambda w: is_vocabulary_nature(nature_rule(w)))
     return lines.select("id", kept.alias("words"))
 

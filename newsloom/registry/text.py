@@ -215,13 +215,13 @@ def normalise_chars(spark, sf):
 
 @query(
     "segment_articles",
-    f"""WITH {c.TOKENS}
+    f"""WITH {c.with_bodies(c.TOKENS)}
         SELECT id, sentence::INT AS sentence, count(*) AS words, md5(string_agg(word, ' ' ORDER BY pos)) AS digest
         FROM tokens GROUP BY id, sentence""",
 )
 def segment_with_dedup(spark, sf):
     """Doubled input rows, as a table that holds articles twice delivers them."""
-    rows = c.articles(spark, sf)
+    rows = c.articles(spark, sf, c.HEADLINE)
     again = rows.withColumn("content", F.concat(F.col("content"), F.lit("\n~ reprinted")))
     long = segment_articles(rows.unionByName(again))
     parts = F.concat(F.array("title_words"), F.col("sentences"))
