@@ -83,3 +83,9 @@ def test_article_vectors(spark, vocab):
     assert doc_keyword_vector(words, vocab.limit(0)).collect() == []
     with pytest.raises(Exception, match="differ in length"):
         vocab.agg(vec_sum_of(F.col("vec"), 3)).collect()
+
+
+def test_words_held_twice_fail_nothing(terms, vocab):
+    nodes = tr.word_graph(terms, vocab)
+    rows = incoming_weights(article_rows(nodes, F.broadcast(vocab.unionByName(vocab)))).collect()
+    assert {r["id"] for r in rows} == {1}
