@@ -120,7 +120,8 @@ def write_tokens(docs: DataFrame, folder: str | None = None, *, shard_tokens: in
     folder = folder or f"{shared_dir(spark)}/newsloom/tokens-{uuid.uuid4().hex}"
     file_system_, path = file_system(folder)
     file_system_.create_dir(path, recursive=True)
-    encoded = stage(encode(docs, **options))
+    # Beside it lie the shuffled ids and the shards, so it is kept small.
+    encoded = stage(encode(docs, **options), compression="zstd")
     total = encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_tokens))
 
