@@ -88,3 +88,16 @@ def test_corpus_round_trip(spark, encode, tmp_path, shard_tokens):
 def test_empty_table(spark, tmp_path):
     folder = T.write_tokens(documents(spark, []), str(tmp_path / "none"))
     assert T.read_tokens(spark, folder).collect() == []
+
+
+def test_staged_ids_are_compressed_well(spark, monkeypatch, tmp_path):
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+
+    kept = []
+    monkeypatch.setattr(T, "stage", lambda df, _f=T.stage, **o: (kept.append(_f(df, **o)), kept[-1])[1])
+    monkeypatch.setattr(T, "unstage", lambda df: None)
+    T.write_tokens(spark.createDataFrame([(i, "some words of a text") for i in range(20)], "doc_id long, text string"), str(tmp_path / "corpus"))
+    group = pq.ParquetFile(urlparse(kept[0].inputFiles()[0]).path).metadata.row_group(0)
+    assert {group.column(i).compression for i in range(group.num_columns)} == {"ZSTD"}
