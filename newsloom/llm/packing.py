@@ -30,6 +30,8 @@ from newsloom.llm.word_ids import WordIds, spans, tokenizer_path
 CAPACITY = 4096
 END_ID = 1
 GROUP = 8192
+#: Bytes of text that a worker has ids of at a time.
+CHUNK_BYTES = 2 << 20
 
 
 def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -38,7 +40,7 @@ def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = per_worker(f"word ids {path}", lambda: WordIds(path))
-        for keys, texts in text_chunks(batches):
+        for keys, texts in text_chunks(batches, CHUNK_BYTES):
             ids, bounds = coder(texts, end_id)
             data, sizes = memoryview(ids).cast("B"), np.diff(bounds)
             counts = -(-sizes // capacity)

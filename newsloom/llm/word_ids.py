@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ import pyarrow.compute as pc
 TOKENIZER = "word_bpe_49k.json"
 #: Words and their characters that a worker remembers; beyond either only those met in several chunks stay.
 MOST_WORDS, MOST_CHARS = 250_000, 8 << 20
+#: Characters of new words that go to the tokenizer at a time, about: an encoding takes many times the memory of its text.
+LEARN_CHARS = 1 << 16
 #: The tokenizer's own pre-token pattern (fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Beyond Latin and general punctuation, lower case, white space or composed letters may be something
@@ -78,6 +81,18 @@ class WordIds:
     def _ids(model, text: str) -> np.ndarray:
         return np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    @staticmethod
+    def _parts(words: list[str]) -> Iterator[list[str]]:
+        """``words`` in parts of at most ``LEARN_CHARS`` characters, or of one word."""
+        start = chars = 0
+        for end, word in enumerate(words):
+            if chars + len(word) > LEARN_CHARS and end > start:
+                yield words[start:end]
+                start, chars = end, 0
+            chars += len(word)
+        if words:
+            yield words[start:]
+
     def _learn(self, words: list[str]) -> None:
         ids = self._ids(self.words, " ".join(words))
         stops = np.flatnonzero(self.ends[ids]) + 1  # the last id of every pre-token
@@ -111,8 +126,8 @@ class WordIds:
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         new = [w for w in distinct if w not in self.place]
-        if new:
-            self._learn(new)
+        for part in self._parts(new):
+            self._learn(part)
         known = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
         self.met[known] += 1
         words = known[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
