@@ -1,11 +1,16 @@
 """Work that is done once, for a text or a word of the vocabulary, against plain Python."""
 
+import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions.terms import word_counts
+from newsloom.operators import classifier as cf
+from newsloom.operators import keywords as kw
+from newsloom.plans.staging import stage
 from newsloom.registry import corpus as c
 
 
@@ -46,3 +51,25 @@ def test_article_items_cut_texts_into_words_once(spark, tmp_path, monkeypatch):
         if any(w in vectors for w in held):
             want[i] = top, [round(sum(n * vectors[w][k] for w, n in held.items() if w in vectors), 9) for k in range(2)]
     assert got == want
+
+
+@pytest.fixture
+def vocab(spark):
+    return stage(spark.createDataFrame(
+        [("a", [3.0, 4.0], 1.0, 5), ("b", [0.0, 2.0], 2.0, 6), ("z", [0.0, 0.0], 3.0, 7)],
+        "word string, vec array<double>, idf double, corpus_tf long"))
+
+
+@pytest.mark.parametrize("module, own, job", [
+    (kw, "square", lambda terms, vocab: kw.word_centrality(kw.article_nouns(terms, vocab.select("word")), vocab).select("word", "sim")),
+    (cf, "norm", lambda terms, vocab: cf.word_features(terms, vocab).select("word", F.col("tit_sim").alias("sim"))),
+])
+def test_a_words_own_product_is_made_for_the_vocabulary(spark, vocab, monkeypatch, module, own, job):
+    seen, plain = [], module.scored_by_sums
+    monkeypatch.setattr(module, "scored_by_sums", lambda rows, known, *args, **more: seen.extend(known.columns) or plain(rows, known, *args, **more))
+    terms = spark.createDataFrame(
+        [(1, 0, 0, "a", "n"), (1, 1, 0, "b", "n"), (1, 1, 1, "z", "n"), (1, 1, 2, "no", "n")],
+        "id long, sentence int, pos int, word string, nature string")
+    got = {r.word: round(r.sim, 9) for r in job(terms, vocab).collect()}
+    assert own in seen
+    assert got == ({"a": 8.0, "b": 8.0, "z": 0.0} if module is kw else {"a": 1.0, "b": round(8 / math.sqrt(25 * 4), 9), "z": 0.0})
